@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from .chat import op4_chat
+from .language import op8_language
+from .neighbours import op10_neighbours
+from .packing import op6_packing
+from .pieces import op9_pieces
 from .quality import op3_quality
 from .urls import op7_urls
 
 QUERIES = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
+    "op6_packing": op6_packing,
     "op7_urls": op7_urls,
+    "op8_language": op8_language,
+    "op9_pieces": op9_pieces,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
