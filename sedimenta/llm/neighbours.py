@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Codebooks, words of each, beam of the encoding, vectors scored exactly for each query and part.
-BOOKS, WORDS, BEAM, RERANK = 8, 256, 4, 160
+BOOKS, WORDS, BEAM, RERANK = 16, 256, 4, 640
 #: Vectors that the codebooks are fitted on, about, and numbers in them at most.
 SAMPLE, SAMPLE_NUMBERS = 6_000, 4_000_000
 PART, QUERY_BLOCK = 16_384, 4_096
