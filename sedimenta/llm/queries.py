@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op4_chat
+from .jaccard import op1_jaccard
 from .language import op8_language
 from .neighbours import op10_neighbours
 from .lm import op5_lm
@@ -13,6 +14,7 @@ from .substrings import op2_substrings
 from .urls import op7_urls
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_substrings": op2_substrings,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
