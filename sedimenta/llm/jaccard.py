@@ -114,13 +114,15 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-SETS = "rid long, n int, sig binary, keys array<long>, last long, elements binary"
+#: Kept rows whose keys are broadcast at most.
+MOST_BROADCAST = 1_000_000
+SETS = "row long, rid long, n int, sig binary, keys array<long>, last long, elements binary"
 
 
 def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """A row for each document: its id, rid (a number of its own), n, sig (of its set); if another document may be linked to it also
     keys (prefix shingles that others' prefixes hold too), last (its last prefix shingle) and elements (its whole set)."""
-    rows = docs.select(id_col, F.col(text).alias("text"))
+    rows = docs.select(id_col, row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     size = text_bytes(rows, "text")
     heavy, rank = heavy_shingles(rows, "text")
     shared = docs.sparkSession.sparkContext.broadcast((heavy, rank))
@@ -162,12 +164,17 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
         types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-        return pa.table({id_col: left.column(id_col), **{n: pa.array(c, t) for n, c, t in zip(["rid", "n", "sig", "keys", "last", "elements"], cols, types, strict=True)}})
+        return pa.table({id_col: left.column(id_col), "row": left.column("row"), **{n: pa.array(c, t) for n, c, t in zip(["rid", "n", "sig", "keys", "last", "elements"], cols, types, strict=True)}})
 
     answered = replies(grouped.groupBy("__grp").applyInArrow(ask, REQUEST), flags)
     return grouped.groupBy("__grp").cogroup(answered.groupBy("__grp")).applyInArrow(finish, f"`{id_col}` {kind}, {SETS}")
 
 
+def row_key(id_col: str, text: str):
+    """The same for rows of equal id and text."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0")))
+
+
 def spread(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -304,15 +311,8 @@ def counted_out(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, overlap int, linked boolean, na int")
 
 
-def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id for each row of docs.
-
-    Words have A-Z lower-cased.  Two documents are linked when 100 * |intersection| >= 80 * |union| of their shingle sets; component_id
-    is the smallest id that links reach, the row's own included.  Null, empty or blank text: no shingles and no links, component_id is
-    the row's own id.  Null ids take part and get the smallest id that isn't null, if any.  Repeated ids and rows are documents of their
-    own (and so linked if not empty).  Other columns are ignored.  An empty table gives an empty result.  Whole texts are read.
-    """
-    spark = docs.sparkSession
+def grouped_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """id_col, row, rid, n_shingles and root (a number of the component; null without shingles) of each row of docs."""
     sets = materialised(document_sets(docs, id_col, text))
     reps = materialised(sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("rep")))
     listed = sets.filter("keys is not null").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
@@ -333,10 +333,38 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     more = counted_out(pairs.filter("not known"), sets).filter("linked").select("a", "b").unionByName(pairs.filter("known").select("a", "b"))
     roots = components(links.unionByName(more))
     rooted = reps.join(roots, reps["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("root"))
-    rows = sets.select(id_col, "n", "sig").join(rooted, "sig", "left")
+    rows = sets.select(id_col, "row", "rid", "n", "sig").join(rooted, "sig", "left")
+    return rows.select(id_col, "row", "rid", F.col("n").cast("long").alias("n_shingles"), "root")
+
+
+def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id for each row of docs.
+
+    Words have A-Z lower-cased.  Two documents are linked when 100 * |intersection| >= 80 * |union| of their shingle sets; component_id
+    is the smallest id that links reach, the row's own included.  Null, empty or blank text: no shingles and no links, component_id is
+    the row's own id.  Null ids take part and get the smallest id that isn't null, if any.  Repeated ids and rows are documents of their
+    own (and so linked if not empty).  Other columns are ignored.  An empty table gives an empty result.  Whole texts are read.
+    """
+    rows = grouped_rows(docs, id_col, text)
     least = rows.filter("root is not null").groupBy("root").agg(F.min(id_col).alias("least"))
     out = rows.join(least, "root", "left")
-    return out.select(id_col, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
+    return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id, a null id last; rows without shingles all stay.
+
+    All columns pass through unchanged.  Of rows equal in id and text one stays.
+    """
+    found = materialised(grouped_rows(docs, id_col, text))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("rid"))
+    kept = found.filter("root is not null").groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row")
+    kept = materialised(kept.unionByName(found.filter("root is null").select(F.col("row").alias("__row"))).distinct())
+    keys = F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+    out = docs.withColumn("__row", row_key(id_col, text)).join(keys, "__row", "left_semi")
+    if found.filter("root is not null").groupBy("row").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["__row"])
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
