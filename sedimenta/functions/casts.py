@@ -87,7 +87,8 @@ def numeric(x: Column, source: Logical, target: Logical) -> Column:
         return F.when(same, y).otherwise(null(target))
     # whole numbers: exact if the way back gives the same
     y = x.cast(carrier)
-    d = y.cast("double")
+    # the addition keeps the optimizer from reading int to float to double as int to double
+    d = (y + F.lit(0).cast(carrier)).cast("double")
     if source == L.UINT64:
         back = F.when(d < float(2**64), double_as_decimal(d))
     else:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .lang.analysis import TimeContext, analyze
 from .lang.times import parse_instant
+from .maintenance import Targets, compact
 from .plans.lower import check_session, lower
 from .sources.bindings import BoundSource, bind
 
@@ -124,9 +127,116 @@ QUERIES: dict[str, PipeQuery] = {
 }
 
 
+# Queries over stored events: the events table goes through ingestion first.
+
+EVENTS_CATALOG = """
+format_version: 1
+source:
+  name: events
+  active_schema_version: 2
+  schemas:
+    - version: 1
+      fields:
+        - {name: event_id, logical_type: int64, nullability: NON_NULL}
+        - {name: user_id, logical_type: int64, nullability: NULLABLE}
+        - {name: event_type, logical_type: utf8, nullability: NULLABLE}
+        - {name: value, logical_type: float64, nullability: NULLABLE}
+    - version: 2
+      fields:
+        - {name: event_id, logical_type: int64, nullability: NON_NULL}
+        - {name: user_id, logical_type: int64, nullability: NULLABLE}
+        - {name: event_type, logical_type: utf8, nullability: NULLABLE}
+        - {name: value, logical_type: float64, nullability: NULLABLE}
+        - {name: k, logical_type: int64, nullability: NULLABLE, historical_remainder_pointer: /props/k}
+  inputs:
+    - name: old
+      active_ingestion_profile_revision: 1
+      ingestion_profile_revisions:
+        - revision: 1
+          target_schema_version: 1
+          maximum_record_bytes: 1048576
+          event_time: {json_pointer: /ts, format: UNIX_MILLISECONDS}
+          mappings:
+            - {target_field: event_id, json_pointer: /event_id}
+            - {target_field: user_id, json_pointer: /user_id}
+            - {target_field: event_type, json_pointer: /event_type}
+            - {target_field: value, json_pointer: /value}
+    - name: new
+      active_ingestion_profile_revision: 1
+      ingestion_profile_revisions:
+        - revision: 1
+          target_schema_version: 2
+          maximum_record_bytes: 1048576
+          event_time: {json_pointer: /ts, format: UNIX_MILLISECONDS}
+          mappings:
+            - {target_field: event_id, json_pointer: /event_id}
+            - {target_field: user_id, json_pointer: /user_id}
+            - {target_field: event_type, json_pointer: /event_type}
+            - {target_field: value, json_pointer: /value}
+            - {target_field: k, json_pointer: /props/k}
+"""
+#: Records of a body.
+BODY = 20_000
+
+
+def stored_events(spark: SparkSession, sf_dir: str, extra: str = "") -> Engine:
+    """A new store that holds the events table: those of odd ids came under the old schema, those of even ids under the new one.
+
+    extra: lines that follow each body."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    engine = Engine(spark, scratch(spark))
+    engine.apply_catalog(EVENTS_CATALOG)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    record = F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "user_id", "event_type", "value", F.from_json("props", "k bigint").alias("props")))
+    for name, odd in (("old", 1), ("new", 0)):
+        lines: list[str] = []
+        for r in rows.filter(F.col("event_id") % 2 == odd).select(record.alias("r")).toLocalIterator():
+            lines.append(r[0])
+            if len(lines) == BODY:
+                engine.ingest("events", name, "\n".join(lines + [extra]).encode())
+                lines = []
+        if lines:
+            engine.ingest("events", name, "\n".join(lines + [extra]).encode())
+    engine.process()
+    return engine
+
+
+def scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sedimenta-stores"
+    return f"{base.rstrip('/')}/store-{uuid.uuid4()}"
+
+
+def stored_query(text: str, extra: str = "", compacted: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = stored_events(spark, sf_dir, extra)
+        if compacted:
+            while compact(engine.store, Targets(margin=0)):
+                pass
+        return plain(engine.plan(f"source events {text}", FIRST, LAST).df)
+
+    return run
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = '{"ts":"x","event_id":1}\n{"ts":1,"event_id":"1"}\n{"ts":1}\n{"ts":1,"event_id":null}\n{"ts":1,"ts":1}\n[]'
+    engine = stored_events(spark, sf_dir, bad)
+    return engine.dead_letter_entries(most=2**31 - 1).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
+
+
+STORED = {
+    "ingest_roundtrip": (stored_query("| project event_id, user_id, event_type, value, k, at = @event_time"),
+        "SELECT event_id, user_id, event_type, value, TRY_CAST(props->>'$.k' AS BIGINT) AS k, date_trunc('millisecond', ts) AS at FROM events"),
+    "schema_adapt": (stored_query("| filter k != null | summarize n = count(), most = max(k), total = sum(k) by event_type"),
+        "SELECT event_type, count(*) AS n, max(k) AS most, sum(k)::BIGINT AS total FROM (SELECT event_type, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events) WHERE k IS NOT NULL GROUP BY event_type"),
+    "compaction_equiv": (stored_query("| summarize n = count(), hi = max(value), last = max(@event_time) by event_type", compacted=True),
+        "SELECT event_type, count(*) AS n, max(value) AS hi, max(date_trunc('millisecond', ts)) AS last FROM events GROUP BY event_type"),
+    "dead_letters": (dead_letters, None),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **{k: q for k, (q, _) in STORED.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q.sql for k, q in QUERIES.items() if q.sql}
+    return {**{k: q.sql for k, q in QUERIES.items() if q.sql}, **{k: sql for k, (_, sql) in STORED.items() if sql}}
