@@ -12,33 +12,59 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Entries of a per-worker word cache; a full cache is emptied, which changes no result.
-CACHE_WORDS = 300_000
-
-
-class WordHashes(dict):
-    """word bytes -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_WORDS = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return _WORDS.array(words)
+#: Bytes hashed at a time, about.
+HASH_BLOCK = 1 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte value.
+BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+#: Odd, and 3 modulo 4, so that all its powers can be undone.
+BASE = 0xD1342543DE82EF97
+
+
+class Powers:
+    """BASE**i and BASE**-i modulo 2**64, as far as needed so far."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        return cls.up, cls.down
+
+
+def hash_block(values: list[bytes]) -> list[np.ndarray]:
+    """A hash of each word of each text.  A word is the polynomial of its bytes' numbers at BASE; the sums over all bytes so far give
+    those of all words at once."""
+    data = np.frombuffer(b"\n".join(values) + b"\n", np.uint8)
+    up, down = Powers.of(len(data))
+    inside = ~SPACE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(BYTES[data] * up[: len(data)])
+        before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+        words = mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
+    cuts = np.cumsum([len(v) + 1 for v in values])[:-1]
+    return np.split(words, np.searchsorted(starts, cuts))
+
+
+def hashed_texts(values: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit hash for each word of each text, in order."""
+    out: list[np.ndarray] = []
+    block, size = [], 0
+    for v in values:
+        block.append(v)
+        size += len(v)
+        if size >= HASH_BLOCK:
+            out += hash_block(block)
+            block, size = [], 0
+    return out + (hash_block(block) if block else [])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, answers, flags, in_groups, materialised, replies, request_rows, request_table, text_bytes, texts, windows, word_hashes
+from .common import REQUEST, answers, flags, hashed_texts, in_groups, materialised, replies, request_rows, request_table, text_bytes, texts, windows
 from .components import components
 
 SIZE = 5
@@ -39,12 +39,12 @@ LIST_BLOCK = 1024
 WIDTH = 6
 
 
-def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; a shorter text is one shingle, an empty one has none."""
-    hashes = word_hashes(text.lower().split())
-    if not len(hashes):
-        return hashes
-    return np.unique(windows(hashes, min(size, len(hashes))))
+def shingle_sets(values: list[bytes], size: int = SIZE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; a shorter text is one shingle, an empty one has none."""
+    out = []
+    for hashes in hashed_texts([v.lower() for v in values]):
+        out.append(np.unique(windows(hashes, min(size, len(hashes)))) if len(hashes) else hashes)
+    return out
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -56,18 +56,41 @@ def prefix_length(n):
     return n - -(-4 * n // 5) + 1
 
 
-def in_order(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Order keys of the prefix of a set."""
-    p = prefix_length(len(s))
-    if not len(heavy):
-        return (s[:p] >> np.uint64(2)).astype(np.int64)
-    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-    often = heavy[at] == s
-    rare = s[~often]
-    keys = (rare[:p] >> np.uint64(2)).astype(np.int64)
-    if len(keys) < p:
-        keys = np.concatenate([keys, np.sort(FIRST_HEAVY + rank[at[often]])[: p - len(keys)]])
-    return keys
+class Order:
+    """The global order of shingles: the frequent ones last, by frequency; all others by hash."""
+
+    BITS = 22
+
+    def __init__(self, heavy: np.ndarray, rank: np.ndarray):
+        self.heavy, self.rank = heavy, rank
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[self.slot(heavy)] = True
+
+    def slot(self, s: np.ndarray) -> np.ndarray:
+        return (s >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles that aren't frequent, and the places of those that are."""
+        often = self.maybe[self.slot(s)]
+        some = np.flatnonzero(often)
+        if not len(some):
+            return s, some
+        at = np.minimum(np.searchsorted(self.heavy, s[some]), len(self.heavy) - 1)
+        real = self.heavy[at] == s[some]
+        often[some[~real]] = False
+        return s[~often], at[real]
+
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """Order keys of the prefix of a set.  Hash order goes through the sorted set from its start, so mostly a part of it is enough."""
+        p = prefix_length(len(s))
+        rare, _ = self.split(s[: 2 * p])
+        often = ()
+        if len(rare) < p:
+            rare, often = self.split(s)
+        keys = (rare[:p] >> np.uint64(2)).astype(np.int64)
+        if len(keys) < p:
+            keys = np.concatenate([keys, np.sort(FIRST_HEAVY + self.rank[often])[: p - len(keys)]])
+        return keys
 
 
 def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +99,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         sets, size, seen = [], 0, set()
         for batch in batches:
-            for value in texts(batch.column(0)):
-                s = shingles(value)
+            for s in shingle_sets(list(texts(batch.column(0)))):
                 mark = xxhash.xxh3_64_intdigest(s.tobytes())
                 if mark in seen:
                     continue
@@ -116,7 +138,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 #: Kept rows whose keys are broadcast at most.
 MOST_BROADCAST = 1_000_000
-SETS = "row long, rid long, n int, sig binary, keys array<long>, last long, elements binary"
+SETS = "row long, rid long, n int, sig binary, keys array<long>, listed int, last long, b0 long, b1 long, b2 long, b3 long, elements binary"
 
 
 def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -124,15 +146,15 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     keys (prefix shingles that others' prefixes hold too), last (its last prefix shingle) and elements (its whole set)."""
     rows = docs.select(id_col, row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     size = text_bytes(rows, "text")
-    heavy, rank = heavy_shingles(rows, "text")
-    shared = docs.sparkSession.sparkContext.broadcast((heavy, rank))
+    shared = docs.sparkSession.sparkContext.broadcast(heavy_shingles(rows, "text"))
     grouped, _ = in_groups(rows, id_col, "text", size)
     buckets = max(1, math.ceil(size[1] / 6 / 4 / KEYS_PER_BUCKET))
 
     def read(table: pa.Table) -> tuple[list[np.ndarray], list[bytes], list[np.ndarray]]:
-        sets = [shingles(v) for v in texts(table.column("text"))]
+        sets = shingle_sets(list(texts(table.column("text"))))
         sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        return sets, sigs, [in_order(s, *shared.value) for s in sets]
+        order = Order(*shared.value)
+        return sets, sigs, [order.prefix(s) for s in sets]
 
     def distinct_keys(sigs: list[bytes], prefixes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         own = dict(zip(sigs, prefixes, strict=True))
@@ -147,7 +169,7 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(11)]
         if left.num_rows:
             left = left.sort_by([(id_col, "ascending")])
             sets, sigs, prefixes = read(left)
@@ -160,11 +182,11 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 found = twice[np.searchsorted(keys, spread(prefix))]
                 listed = len(prefix) and found.any()
                 # positions of unlisted shingles matter too, so they stay as -1
-                row = ((group << 32) + i, len(s), sig, np.where(found, prefix, -1) if listed else None, int(prefix[-1]) if listed else None, narrow(s) if listed else None)
+                row = ((group << 32) + i, len(s), sig, np.where(found, prefix, -1) if listed else None, int(found.sum()) if listed else None, int(prefix[-1]) if listed else None, *(bitmap(prefix[found]) if listed else [None] * 4), narrow(s) if listed else None)
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-        return pa.table({id_col: left.column(id_col), "row": left.column("row"), **{n: pa.array(c, t) for n, c, t in zip(["rid", "n", "sig", "keys", "last", "elements"], cols, types, strict=True)}})
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+        return pa.table({id_col: left.column(id_col), "row": left.column("row"), **{n: pa.array(c, t) for n, c, t in zip(["rid", "n", "sig", "keys", "listed", "last", *BITS, "elements"], cols, types, strict=True)}})
 
     answered = replies(grouped.groupBy("__grp").applyInArrow(ask, REQUEST), flags)
     return grouped.groupBy("__grp").cogroup(answered.groupBy("__grp")).applyInArrow(finish, f"`{id_col}` {kind}, {SETS}")
@@ -180,6 +202,13 @@ def spread(keys: np.ndarray) -> np.ndarray:
         return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def bitmap(keys: np.ndarray) -> list[int]:
+    """256 bits, one of which each key sets."""
+    bits = np.zeros(256, np.uint8)
+    bits[(spread(keys) >> np.uint64(56)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
 def narrow(s: np.ndarray) -> bytes:
     return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).tobytes()
 
@@ -190,6 +219,7 @@ def widened(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+BITS = ("b0", "b1", "b2", "b3")
 PAIRS = "a long, b long, na int, nb int, a_first boolean, known boolean"
 
 
@@ -222,13 +252,20 @@ def streamed(names: list[str], step):
 
 
 def star_pairs(lists):
-    """Each set of a list with the list's first one, unless size or position keeps them apart."""
+    """Each set of a list with the list's pivot, unless size, position or what they list keeps them apart.
+
+    The pivot is the set that lists most of its prefix: it has the fewest shingles of its own, as an original among edited copies has.
+    """
     out = []
-    for _, rid, n, pos, last in lists:
+    for _, rid, n, pos, last, listed, *bits in lists:
         if len(rid) < 2:
             continue
-        near = possible(n[0], n[1:], pos[0], pos[1:])
-        out.append((np.full(near.sum(), rid[0]), rid[1:][near], np.full(near.sum(), n[0]), n[1:][near], last[0] <= last[1:][near]))
+        bits = [b.view(np.uint64) for b in bits]
+        x = np.lexsort((rid, -listed))[0]
+        near = possible(n[x], n, pos[x], pos) & enough(n[x], n, last[x], last, listed[x], listed, [b[x] for b in bits], bits)
+        near[x] = False
+        k = near.sum()
+        out.append((np.full(k, rid[x]), rid[near], np.full(k, n[x]), n[near], last[x] <= last[near]))
     if out:
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         yield pair_batch(*cols, np.zeros(len(cols[0]), bool))
@@ -240,17 +277,28 @@ def possible(n, m, i, j) -> np.ndarray:
     return most >= needed(n, m)
 
 
+def enough(n, m, last_n, last_m, listed_n, listed_m, bits_n, bits_m) -> np.ndarray:
+    """Whether the listed shingles that two prefixes may share, and all that follows the prefix that ends first, would do.
+
+    A bit that only one of two bitmaps has stands for a shingle at least that the other hasn't."""
+    rest = np.where(last_n <= last_m, n - prefix_length(n), m - prefix_length(m))
+    own = sum(np.bitwise_count(x & ~y).astype(np.int64) for x, y in zip(bits_n, bits_m, strict=True))
+    other = sum(np.bitwise_count(y & ~x).astype(np.int64) for x, y in zip(bits_n, bits_m, strict=True))
+    return np.minimum(listed_n - own, listed_m - other) + rest >= needed(n, m)
+
+
 def open_pairs(lists):
     """Pairs in different components that sizes, positions and what is known of their pivots leave open, block by block."""
     for one in lists:
         yield from open_in_list(*one)
 
 
-def open_in_list(_, rid, n, pos, last, comp, pivot, overlap, pivot_n):
+def open_in_list(_, rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n):
     if len(rid) < 2:
         return
     order = np.lexsort((pos, n))
-    rid, n, pos, last, comp, pivot, overlap, pivot_n = (c[order].astype(np.int64) for c in (rid, n, pos, last, comp, pivot, overlap, pivot_n))
+    rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n = (c[order].astype(np.int64) for c in (rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n))
+    bits = (b0.view(np.uint64), b1.view(np.uint64), b2.view(np.uint64), b3.view(np.uint64))
     starts = range(0, len(rid), LIST_BLOCK)
     for x in starts:
         own = slice(x, x + LIST_BLOCK)
@@ -270,6 +318,8 @@ def open_in_list(_, rid, n, pos, last, comp, pivot, overlap, pivot_n):
                 i, j = i[i < j], j[i < j]
             if not len(i):
                 continue
+            stay = enough(n[i], n[j], last[i], last[j], listed[i], listed[j], [b[i] for b in bits], [b[j] for b in bits])
+            i, j = i[stay], j[stay]
             need = needed(n[i], n[j])
             same = (pivot[i] == pivot[j]) & (pivot[i] >= 0)
             most = np.where(same, np.minimum(overlap[i] + n[j] - overlap[j], overlap[j] + n[i] - overlap[i]), n[i])
@@ -316,9 +366,9 @@ def grouped_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     sets = materialised(document_sets(docs, id_col, text))
     reps = materialised(sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("rep")))
     listed = sets.filter("keys is not null").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    postings = materialised(listed.select("rid", "n", "last", F.posexplode("keys").alias("pos", "key")).filter("key >= 0").select("key", "rid", "n", "pos", "last"))
+    postings = materialised(listed.select("rid", "n", "last", "listed", *BITS, F.posexplode("keys").alias("pos", "key")).filter("key >= 0").select("key", "rid", "n", "pos", "last", "listed", *BITS))
     lists = lambda df: df.repartition("key").sortWithinPartitions("key", "rid")
-    stars = lists(postings).mapInArrow(streamed(["key", "rid", "n", "pos", "last"], star_pairs), PAIRS)
+    stars = lists(postings).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS], star_pairs), PAIRS)
     best = candidates(stars).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     first = materialised(counted_out(best, sets))
     links = first.filter("linked").select("a", "b")
@@ -327,8 +377,9 @@ def grouped_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     met = first.select(F.col("b").alias("rid"), F.col("a").alias("pivot"), "overlap", F.col("na").alias("pivot_n"))
     state = postings.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
     mixed = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    state = state.join(mixed, "key").join(met, "rid", "left").select("key", "rid", "n", "pos", "last", "comp", F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"))
-    opened = lists(state).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "comp", "pivot", "overlap", "pivot_n"], open_pairs), PAIRS)
+    # written first: a shuffle by key right after a join by key would be left out, and splitting that join's hot keys would split lists
+    state = materialised(state.join(mixed, "key").join(met, "rid", "left").select("key", "rid", "n", "pos", "last", "listed", *BITS, "comp", F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n")))
+    opened = lists(state).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS, "comp", "pivot", "overlap", "pivot_n"], open_pairs), PAIRS)
     pairs = materialised(candidates(opened))
     more = counted_out(pairs.filter("not known"), sets).filter("linked").select("a", "b").unionByName(pairs.filter("known").select("a", "b"))
     roots = components(links.unionByName(more))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, added_up, answers, in_groups, reply_table, REPLY, request_rows, request_table, text_bytes, texts, windows, word_hashes
+from .common import REQUEST, added_up, answers, hashed_texts, in_groups, reply_table, REPLY, request_rows, request_table, text_bytes, texts, windows
 from .language import fold
 
 ORDER, MU = 2, 40.0
@@ -30,7 +30,7 @@ KEYS_PER_BUCKET = 1_500_000
 
 def token_runs(values: list[bytes]) -> list[np.ndarray]:
     """begin, words, end of each text, as hashes."""
-    return [np.concatenate([[BEGIN], word_hashes(v.lower().split()), [END]]).astype(np.uint64) for v in values]
+    return [np.concatenate([[BEGIN], words, [END]]).astype(np.uint64) for words in hashed_texts([v.lower() for v in values])]
 
 
 def grams_of(runs: list[np.ndarray], order: int) -> list[list[np.ndarray]]:

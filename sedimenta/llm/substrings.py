@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import REQUEST, answers, flags, in_groups, replies, request_rows, request_table, text_bytes, texts, windows, word_hashes
+from .common import REQUEST, answers, flags, hashed_texts, in_groups, replies, request_rows, request_table, text_bytes, texts, windows
 
 SIZE, SEED = 35, 12
 KEYS_PER_BUCKET = 1_500_000
@@ -79,8 +79,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     words = total[1] / 6
     few, many = (max(1, math.ceil(words * share / KEYS_PER_BUCKET)) for share in (0.1, 0.4))
 
-    def read(table: pa.Table) -> list[list[bytes]]:
-        return [v.split() for v in texts(table.column(text))]
+    def read(table: pa.Table) -> list[np.ndarray]:
+        return hashed_texts(list(texts(table.column(text))))
 
     def known_anchors(hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         found = [anchors(h, size, seed) for h in hashes]
@@ -88,12 +88,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
         return [c for c, _ in found], keys, counts
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        _, keys, counts = known_anchors([word_hashes(w) for w in read(table)])
+        _, keys, counts = known_anchors(read(table))
         return request_table(request_rows(table.column("__grp")[0].as_py(), keys, counts, few))
 
-    def candidates(words: list[list[bytes]], right: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def candidates(hashes: list[np.ndarray], right: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Starts and hashes of the windows of each text whose anchor is repeated."""
-        hashes = [word_hashes(w) for w in words]
         chosen, keys, _ = known_anchors(hashes)
         twice = answers(right, 0, np.uint8).astype(bool)
         if len(twice) != len(keys):
@@ -111,14 +110,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         kept, n_words, n_removed = [], [], []
         if left.num_rows:
-            words = read(left)
-            starts, found = candidates(words, right)
+            values = list(texts(left.column(text)))
+            starts, found = candidates(hashed_texts(values), right)
             keys, place = np.unique(np.concatenate(found), return_inverse=True)
             twice = answers(right, 1, np.uint8).astype(bool)
             if len(twice) != len(keys):
                 raise ValueError(f"{len(twice)} answers for {len(keys)} windows")
             at = 0
-            for own, start in zip(words, starts, strict=True):
+            for value, start in zip(values, starts, strict=True):
+                own = value.split()
                 repeated = start[twice[place[at : at + len(start)]]]
                 at += len(start)
                 gone = covered(len(own), repeated, size) if len(repeated) else None
