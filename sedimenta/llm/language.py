@@ -218,6 +218,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
                 pred = [trees.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 score = np.where(known, share, 0.0)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names, "lang_pred", "score"])
+        trees.forget()  # a worker lives on
 
     return docs.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Documents of a packing group, about.
 GROUP = 50_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 PIECES = "{id} {type}, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
