@@ -7,6 +7,7 @@ from .jaccard import op1_jaccard
 from .language import op8_language
 from .neighbours import op10_neighbours
 from .lm import op5_lm
+from .oracles import ORACLE_SQL
 from .packing import op6_packing
 from .pieces import op9_pieces
 from .quality import op3_quality
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
