@@ -84,10 +84,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     rows = rows.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
     name = F.when(F.col("__rule").isNull() & (F.col("host") != ""), canonical(F.col(url)))
     rows = rows.withColumn("__url", name).withColumn("__block", F.pmod(F.xxhash64("__url"), F.lit(blocks))).withColumn("__key", F.xxhash64("__url", F.lit(1)))
-    probed = rows.join(F.broadcast(words.withColumnRenamed("block", "__block")), "__block", "left")
+    probed = rows.join(F.broadcast(words.select(F.col("block").alias("__block"), *[F.col(f"word{i}").alias(f"__word{i}") for i in range(LANES)])), "__block", "left")
     set_all = None
     for i, b in enumerate(bits(F.col("__key"))):
-        one = F.col(f"word{i}").bitwiseAND(b) != 0
+        one = F.col(f"__word{i}").bitwiseAND(b) != 0
         set_all = one if set_all is None else set_all & one
     possible = probed.withColumn("__may", F.when(F.col("__url").isNotNull() & set_all, F.col("__url")))
     # the hits that the filter lets through, once each, meet the list; the answer goes back to the rows
