@@ -160,6 +160,13 @@ class Engine:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json([self.store.files.at(dead_letter_key(e)) for e in found]).orderBy("batch_id", "position").limit(most)
 
+    def verify(self, source: str) -> DataFrame:
+        """Segments of a source whose rows or times contradict the manifest."""
+        state = self.store.state()
+        definition = self.store.sources(state)[source]
+        own = [s for s in state["segments"] if s["source"] == definition.id and s["state"] == "ACTIVE"]
+        return self.store.contradictions(own, definition) if own else self.spark.createDataFrame([], "object string, rows long, min long, max long")
+
     def _frame(self, kind: str, schema: str) -> DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
         rows = [tuple(x.get(n) for n in names) for x in self.store.state()[kind]]

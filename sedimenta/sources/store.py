@@ -136,6 +136,18 @@ class Store:
         with ThreadPoolExecutor(CHECKS) as pool:
             list(pool.map(one, snapshot.segments))
 
+    def contradictions(self, segments: list[dict], source: SourceDefinition) -> DataFrame:
+        """file, rows, min, max as stored, where they are not what the manifest says; Parquet statistics answer most of it."""
+        parts = []
+        for version in sorted({s["schema"] for s in segments}):
+            own = [s for s in segments if s["schema"] == version]
+            schema = source.schema(version)
+            stamp = F.col(f"`{schema.all_fields[0].id}`")
+            found = self.stored(schema, own).groupBy(F.regexp_extract(F.input_file_name(), r"([^/]+)\.parquet$", 1).alias("object")).agg(F.count(F.lit(1)).alias("rows"), F.unix_millis(F.min(stamp)).alias("min"), F.unix_millis(F.max(stamp)).alias("max"))
+            said = self.spark.createDataFrame([(s["object"], s["rows"], s["min"], s["max"]) for s in own], "object string, said_rows long, said_min long, said_max long")
+            parts.append(said.join(found, "object", "left").filter("NOT (rows <=> said_rows AND min <=> said_min AND max <=> said_max)"))
+        return reduce(DataFrame.unionByName, parts)
+
     def stored(self, schema: Schema, segments: list[dict]) -> DataFrame:
         return self.spark.read.schema(columns_of(schema)).parquet(*[self.files.at(segment_key(s)) for s in segments])
 

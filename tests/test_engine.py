@@ -160,8 +160,14 @@ def test_missing_and_corrupt_objects(spark, tmp_path):
     e.process()
     (path,) = list(tmp_path.glob("segments/*/*.parquet"))
     data = path.read_bytes()
+    assert e.verify("logs").count() == 0
     path.write_bytes(data + b"x")
     failing(e, "PUBLISHED_OBJECT_CORRUPT", "")
+    path.write_bytes(data[:-40] + b"y" * 40)
+    failing(e, "PUBLISHED_OBJECT_CORRUPT", "")
+    path.write_bytes(data)
+    e.store.change(lambda state: state["segments"][0].__setitem__("rows", 7))
+    assert e.verify("logs").count() == 1
     path.unlink()
     failing(e, "PUBLISHED_OBJECT_MISSING", "")
 
@@ -239,3 +245,27 @@ def test_landing_stream(spark, tmp_path):
         (folder / f"{i}.ndjson").write_text(event("11:00", f"m{i}", i))
         start(e, "logs", "http", str(folder), str(tmp_path / "checkpoint")).awaitTermination(60)
     assert ask(e, "| summarize n = count(), s = sum(attempts)").rows == [["3", "3"]]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sedimenta.__main__ import main
+
+    root = str(tmp_path / "store")
+    (tmp_path / "c.yaml").write_text(V1)
+    (tmp_path / "e.ndjson").write_text(event("11:00", "m", 1))
+    assert main([root, "catalog", str(tmp_path / "c.yaml")]) == 0
+    assert main([root, "submit", "logs", "http", str(tmp_path / "e.ndjson")]) == 0 and main([root, "process"]) == 0
+    assert main([root, "query", "source logs | summarize n = count()", at("10:00"), at("12:00")]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["rows"] == [["1"]]
+    assert main([root, "query", "source logs | take -1", at("10:00"), at("12:00")]) == 1
+    assert json.loads(capsys.readouterr().err.splitlines()[-1])["diagnostics"][0]["column"] == 20
+    assert main([root, "maintain"]) == 0 and main([root, "status"]) == 0
+
+
+@pytest.mark.parametrize("text", ["a: &x 1\nb: *x\n", "!!str a", "%YAML 1.1\n---\na: 1\n", "a: 1\n---\nb: 1\n", "format_version: 2\nsource: {}\n", "- 1\n", "a: [\n"])
+def test_yaml_is_read_strictly(text):
+    from sedimenta.sources.catalog import read_manifest
+
+    with pytest.raises(EngineError) as error:
+        read_manifest(text)
+    assert error.value.code == "CATALOG_MANIFEST_INVALID"
