@@ -6,8 +6,11 @@ Hashes have 64 bits: two different keys count as equal with a chance of about n*
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at a time, about.
-HASH_BLOCK = 1 << 20
+HASH_BLOCK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A random number for each byte value.
@@ -114,11 +117,41 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sedimenta-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Writes the frame as a table in the shared folder and reads it back: the lineage ends there."""
+def materialised(df: DataFrame, large: bool = False) -> DataFrame:
+    """Writes the frame as a table in the shared folder and reads it back: the lineage ends there.
+
+    large: also has the driver collect its garbage, upon which Spark deletes the shuffle files that led to the table."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if large:
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out, lambda _, i=id(out): _PATHS.pop(i, None)), path)
+    return out
+
+
+_PATHS: dict[int, tuple] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a materialised frame that nothing to come will read, lost tasks included."""
+    spark, (_, path) = df.sparkSession, _PATHS.pop(id(df))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release() -> None:
+    """Gives memory that is free back to the machine: a Python worker lives on between tasks, beside its executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 
 def text_bytes(docs: DataFrame, text: str) -> tuple[int, int]:

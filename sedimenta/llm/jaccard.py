@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, answers, flags, hashed_texts, in_groups, materialised, replies, request_rows, request_table, text_bytes, texts, windows
+from .common import REQUEST, answers, discard, flags, hashed_texts, in_groups, materialised, release, replies, request_rows, request_table, text_bytes, texts, windows
 from .components import components
 
 SIZE = 5
@@ -111,6 +111,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
                     sets, size, seen = [], 0, set()
         if size:
             yield often(sets)
+        release()
 
     def often(sets: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -129,6 +130,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     if least is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     table = counted.filter(step >= least).toArrow()
+    discard(counted)
     keys, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
     rank = np.empty(len(keys), np.int64)
     rank[np.lexsort((keys, n))] = np.arange(len(keys))
@@ -136,14 +138,15 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-#: Kept rows whose keys are broadcast at most.
-MOST_BROADCAST = 1_000_000
-SETS = "row long, rid long, n int, sig binary, keys array<long>, listed int, last long, b0 long, b1 long, b2 long, b3 long, elements binary"
+#: Rows of a narrow table that is broadcast at most; beyond that it is joined by a shuffle.
+MOST_BROADCAST = 500_000
+SETS = "row long, rid long, n int, sig binary, keys array<long>, listed int, last long, b0 long, b1 long, b2 long, b3 long"
 
 
 def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """A row for each document: its id, rid (a number of its own), n, sig (of its set); if another document may be linked to it also
-    keys (prefix shingles that others' prefixes hold too), last (its last prefix shingle) and elements (its whole set)."""
+    keys (prefix shingles that others' prefixes hold too, else -1), listed (how many), last (its last prefix shingle) and a bitmap of
+    them."""
     rows = docs.select(id_col, row_key(id_col, text).alias("row"), F.col(text).alias("text"))
     size = text_bytes(rows, "text")
     shared = docs.sparkSession.sparkContext.broadcast(heavy_shingles(rows, "text"))
@@ -164,12 +167,13 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         _, sigs, prefixes = read(table)
         keys, counts = distinct_keys(sigs, prefixes)
+        release()
         return request_table(request_rows(table.column("__grp")[0].as_py(), keys, counts, buckets))
 
     kind = docs.schema[id_col].dataType.simpleString()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(11)]
+        cols: list[list] = [[] for _ in range(10)]
         if left.num_rows:
             left = left.sort_by([(id_col, "ascending")])
             sets, sigs, prefixes = read(left)
@@ -182,11 +186,12 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 found = twice[np.searchsorted(keys, spread(prefix))]
                 listed = len(prefix) and found.any()
                 # positions of unlisted shingles matter too, so they stay as -1
-                row = ((group << 32) + i, len(s), sig, np.where(found, prefix, -1) if listed else None, int(found.sum()) if listed else None, int(prefix[-1]) if listed else None, *(bitmap(prefix[found]) if listed else [None] * 4), narrow(s) if listed else None)
+                row = ((group << 32) + i, len(s), sig, np.where(found, prefix, -1) if listed else None, int(found.sum()) if listed else None, int(prefix[-1]) if listed else None, *(bitmap(prefix[found]) if listed else [None] * 4))
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-        return pa.table({id_col: left.column(id_col), "row": left.column("row"), **{n: pa.array(c, t) for n, c, t in zip(["rid", "n", "sig", "keys", "listed", "last", *BITS, "elements"], cols, types, strict=True)}})
+        release()
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * 5]
+        return pa.table({id_col: left.column(id_col), "row": left.column("row"), **{n: pa.array(c, t) for n, c, t in zip(["rid", "n", "sig", "keys", "listed", "last", *BITS], cols, types, strict=True)}})
 
     answered = replies(grouped.groupBy("__grp").applyInArrow(ask, REQUEST), flags)
     return grouped.groupBy("__grp").cogroup(answered.groupBy("__grp")).applyInArrow(finish, f"`{id_col}` {kind}, {SETS}")
@@ -223,52 +228,45 @@ BITS = ("b0", "b1", "b2", "b3")
 PAIRS = "a long, b long, na int, nb int, a_first boolean, known boolean"
 
 
-def lists_of(columns: list[np.ndarray], held: list[np.ndarray] | None) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
-    """Splits sorted columns at changes of the first; the last list may go on in the next batch and is handed back."""
-    if held is not None:
-        columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-    cuts = np.flatnonzero(np.diff(columns[0])) + 1
-    parts = list(zip(*[np.split(c, cuts) for c in columns], strict=True))
-    return list(parts[-1]), parts[:-1]
-
-
 def pair_batch(a, b, na, nb, a_first, known) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(a_first, pa.bool_()), pa.array(known, pa.bool_())], names=["a", "b", "na", "nb", "a_first", "known"])
 
 
 def streamed(names: list[str], step):
-    """A function over batches sorted by key that hands each whole list to ``step``."""
+    """A function over batches sorted by key (the first of names) that hands whole lists to ``step``: columns, and where lists start."""
 
     def run(batches):
         held = None
         for batch in batches:
             if batch.num_rows:
-                held, done = lists_of([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names], held)
-                yield from step(done)
+                columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+                if held is not None:
+                    columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+                starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+                # the last list may go on in the next batch
+                yield from step([c[: starts[-1]] for c in columns], starts[:-1])
+                held = [c[starts[-1] :] for c in columns]
         if held is not None:
-            yield from step([held])
+            yield from step(held, np.zeros(1, np.int64))
 
     return run
 
 
-def star_pairs(lists):
+def star_pairs(columns, starts):
     """Each set of a list with the list's pivot, unless size, position or what they list keeps them apart.
 
     The pivot is the set that lists most of its prefix: it has the fewest shingles of its own, as an original among edited copies has.
     """
-    out = []
-    for _, rid, n, pos, last, listed, *bits in lists:
-        if len(rid) < 2:
-            continue
-        bits = [b.view(np.uint64) for b in bits]
-        x = np.lexsort((rid, -listed))[0]
-        near = possible(n[x], n, pos[x], pos) & enough(n[x], n, last[x], last, listed[x], listed, [b[x] for b in bits], bits)
-        near[x] = False
-        k = near.sum()
-        out.append((np.full(k, rid[x]), rid[near], np.full(k, n[x]), n[near], last[x] <= last[near]))
-    if out:
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        yield pair_batch(*cols, np.zeros(len(cols[0]), bool))
+    if not len(columns[0]):
+        return
+    key, rid, n, pos, last, listed, *bits = columns
+    order = np.lexsort((rid, -listed, key))
+    x = np.repeat(order[starts], np.diff(np.r_[starts, len(key)]))  # of each row, the row of its list's pivot
+    bits = [b.view(np.uint64) for b in bits]
+    near = (x != np.arange(len(key))) & possible(n[x], n, pos[x], pos) & enough(n[x], n, last[x], last, listed[x], listed, [b[x] for b in bits], bits)
+    if near.any():
+        x = x[near]
+        yield pair_batch(rid[x], rid[near], n[x], n[near], last[x] <= last[near], np.zeros(len(x), bool))
 
 
 def possible(n, m, i, j) -> np.ndarray:
@@ -287,20 +285,30 @@ def enough(n, m, last_n, last_m, listed_n, listed_m, bits_n, bits_m) -> np.ndarr
     return np.minimum(listed_n - own, listed_m - other) + rest >= needed(n, m)
 
 
-def open_pairs(lists):
-    """Pairs in different components that sizes, positions and what is known of their pivots leave open, block by block."""
-    for one in lists:
-        yield from open_in_list(*one)
+def open_pairs(columns, starts):
+    """Pairs in different components that sizes, positions and what is known of their pivots leave open: of lists of two all at once,
+    of longer ones block by block."""
+    columns = [columns[0], *(c.astype(np.int64, copy=False) for c in columns[1:])]
+    sizes = np.diff(np.r_[starts, len(columns[0])])
+    two = starts[sizes == 2]
+    if len(two):
+        yield from open_among(columns, *by_size(columns, two, two + 1))
+    for a, k in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        yield from open_in_list([c[a : a + k] for c in columns])
 
 
-def open_in_list(_, rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n):
-    if len(rid) < 2:
-        return
-    order = np.lexsort((pos, n))
-    rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n = (c[order].astype(np.int64) for c in (rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n))
-    bits = (b0.view(np.uint64), b1.view(np.uint64), b2.view(np.uint64), b3.view(np.uint64))
-    starts = range(0, len(rid), LIST_BLOCK)
-    for x in starts:
+def by_size(columns, i, j):
+    """Pairs of rows with the smaller set first."""
+    swap = columns[2][i] > columns[2][j]
+    return np.where(swap, j, i), np.where(swap, i, j)
+
+
+def open_in_list(columns):
+    order = np.lexsort((columns[3], columns[2]))
+    columns = [c[order] for c in columns]
+    _, rid, n, pos, *_ = columns
+    comp = columns[10]
+    for x in range(0, len(rid), LIST_BLOCK):
         own = slice(x, x + LIST_BLOCK)
         for y in range(0, x + 1, LIST_BLOCK):
             other = slice(y, min(y + LIST_BLOCK, len(rid)))
@@ -312,26 +320,33 @@ def open_in_list(_, rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, over
             far = max(pos[own].min() - pos[other].max(), pos[other].min() - pos[own].max())
             if far > 0 and n[own][-1] - far < needed(n[other][0], n[own][0]):
                 continue
-            i, j = np.nonzero((comp[other][:, None] != comp[own][None, :]) & (rid[other][:, None] != rid[own][None, :]) & possible(n[other][:, None], n[own][None, :], pos[other][:, None], pos[own][None, :]))
+            i, j = np.nonzero((comp[other][:, None] != comp[own][None, :]) & possible(n[other][:, None], n[own][None, :], pos[other][:, None], pos[own][None, :]))
             i, j = i + y, j + x
             if x == y:
                 i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            stay = enough(n[i], n[j], last[i], last[j], listed[i], listed[j], [b[i] for b in bits], [b[j] for b in bits])
-            i, j = i[stay], j[stay]
-            need = needed(n[i], n[j])
-            same = (pivot[i] == pivot[j]) & (pivot[i] >= 0)
-            most = np.where(same, np.minimum(overlap[i] + n[j] - overlap[j], overlap[j] + n[i] - overlap[i]), n[i])
-            known = same & (overlap[i] + overlap[j] - pivot_n[i] >= need)
-            # the pivot's own links are counted out already
-            done = (pivot[i] == rid[j]) | (pivot[j] == rid[i])
-            stay = (most >= need) & ~done
-            i, j, known = i[stay], j[stay], known[stay]
-            if len(i):
-                flip = rid[i] > rid[j]
-                a, b = np.where(flip, j, i), np.where(flip, i, j)
-                yield pair_batch(rid[a], rid[b], n[a], n[b], last[a] <= last[b], known)
+            yield from open_among(columns, i, j)
+
+
+def open_among(columns, i, j):
+    """Of the rows i and j, those pairs that stay open; n[i] <= n[j]."""
+    _, rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n = columns
+    bits = [b.view(np.uint64) for b in (b0, b1, b2, b3)]
+    stay = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j])
+    i, j = i[stay], j[stay]
+    stay = enough(n[i], n[j], last[i], last[j], listed[i], listed[j], [b[i] for b in bits], [b[j] for b in bits])
+    i, j = i[stay], j[stay]
+    need = needed(n[i], n[j])
+    same = (pivot[i] == pivot[j]) & (pivot[i] >= 0)
+    most = np.where(same, np.minimum(overlap[i] + n[j] - overlap[j], overlap[j] + n[i] - overlap[i]), n[i])
+    known = same & (overlap[i] + overlap[j] - pivot_n[i] >= need)
+    # the pivot's own links are counted out already
+    done = (pivot[i] == rid[j]) | (pivot[j] == rid[i])
+    stay = (most >= need) & ~done
+    i, j, known = i[stay], j[stay], known[stay]
+    if len(i):
+        flip = rid[i] > rid[j]
+        a, b = np.where(flip, j, i), np.where(flip, i, j)
+        yield pair_batch(rid[a], rid[b], n[a], n[b], last[a] <= last[b], known)
 
 
 def candidates(pairs: DataFrame) -> DataFrame:
@@ -341,8 +356,18 @@ def candidates(pairs: DataFrame) -> DataFrame:
     return counted.filter(F.col("shared") + rest >= F.expr("ceil(4 * (na + nb) / 9)"))
 
 
-def counted_out(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, overlap, linked, from the sets themselves."""
+def counted_out(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """a, b, overlap, linked, na (size of a's set), from the sets themselves; those of the sets in question are made anew from their texts."""
+    rids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    asked = materialised(sets.join(rids, "rid", "left_semi").select("row", "rid"))
+    keys = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
+    rows = docs.select(row_key(id_col, text).alias("row"), F.col(text).alias("text")).join(keys, "row").select("rid", "text")
+
+    def make(batches):
+        for batch in batches:
+            elements = [narrow(s) for s in shingle_sets(list(texts(batch.column(1))))]
+            yield pa.record_batch([batch.column(0), pa.array(elements, pa.binary())], names=["rid", "elements"])
+        release()
 
     def count(batches):
         for batch in batches:
@@ -356,33 +381,37 @@ def counted_out(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             linked = 100 * overlap >= 80 * (n + m - overlap)
             yield pa.record_batch([get("a"), get("b"), pa.array(overlap, pa.int32()), pa.array(linked, pa.bool_()), pa.array(n, pa.int32())], names=["a", "b", "overlap", "linked", "na"])
 
-    own = sets.select(F.col("rid").alias("a"), F.col("elements").alias("x"))
-    other = sets.select(F.col("rid").alias("b"), F.col("elements").alias("y"))
-    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, overlap int, linked boolean, na int")
+    made = materialised(rows.mapInArrow(make, "rid long, elements binary"))
+    own = made.select(F.col("rid").alias("a"), F.col("elements").alias("x"))
+    other = made.select(F.col("rid").alias("b"), F.col("elements").alias("y"))
+    out = materialised(pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, overlap int, linked boolean, na int"), large=True)
+    discard(made)
+    return out.dropDuplicates(["a", "b"])
 
 
 def grouped_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id_col, row, rid, n_shingles and root (a number of the component; null without shingles) of each row of docs."""
-    sets = materialised(document_sets(docs, id_col, text))
+    sets = materialised(document_sets(docs, id_col, text), large=True)
     reps = materialised(sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("rep")))
     listed = sets.filter("keys is not null").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
     postings = materialised(listed.select("rid", "n", "last", "listed", *BITS, F.posexplode("keys").alias("pos", "key")).filter("key >= 0").select("key", "rid", "n", "pos", "last", "listed", *BITS))
     lists = lambda df: df.repartition("key").sortWithinPartitions("key", "rid")
     stars = lists(postings).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS], star_pairs), PAIRS)
-    best = candidates(stars).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    first = materialised(counted_out(best, sets))
+    best = materialised(candidates(stars).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")), large=True)
+    first = counted_out(best, sets, docs, id_col, text)
     links = first.filter("linked").select("a", "b")
     roots = components(links)
-    # what is known of each set now: its component, and its overlap with its pivot (a pivot overlaps itself wholly)
+    # what is known of each set now: its component, and its overlap with its pivot
     met = first.select(F.col("b").alias("rid"), F.col("a").alias("pivot"), "overlap", F.col("na").alias("pivot_n"))
-    state = postings.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-    mixed = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    # written first: a shuffle by key right after a join by key would be left out, and splitting that join's hot keys would split lists
-    state = materialised(state.join(mixed, "key").join(met, "rid", "left").select("key", "rid", "n", "pos", "last", "listed", *BITS, "comp", F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n")))
+    found = materialised(roots.select(F.col("node").alias("rid"), "root").join(met, "rid", "full"))
+    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    state = postings.join(found, "rid", "left").select("key", "rid", "n", "pos", "last", "listed", *BITS, F.coalesce("root", "rid").alias("comp"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"))
+    # a list must be whole in one task: nothing before this shuffle may be dealt by key, else the shuffle would be left out
     opened = lists(state).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS, "comp", "pivot", "overlap", "pivot_n"], open_pairs), PAIRS)
-    pairs = materialised(candidates(opened))
-    more = counted_out(pairs.filter("not known"), sets).filter("linked").select("a", "b").unionByName(pairs.filter("known").select("a", "b"))
-    roots = components(links.unionByName(more))
+    pairs = materialised(candidates(opened), large=True)
+    discard(postings)
+    more = counted_out(pairs.filter("not known"), sets, docs, id_col, text).filter("linked").select("a", "b")
+    roots = components(links.unionByName(more).unionByName(pairs.filter("known").select("a", "b")))
     rooted = reps.join(roots, reps["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("root"))
     rows = sets.select(id_col, "row", "rid", "n", "sig").join(rooted, "sig", "left")
     return rows.select(id_col, "row", "rid", F.col("n").cast("long").alias("n_shingles"), "root")

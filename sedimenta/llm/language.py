@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import release
+
 ORDER = 3
 START = b"\0" * ORDER
 #: Labelled text to learn from: bytes for each language, about (a hash of the id picks the documents), and languages at most.
@@ -218,7 +220,8 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
                 pred = [trees.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 score = np.where(known, share, 0.0)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names, "lang_pred", "score"])
-        trees.forget()  # a worker lives on
+        trees.forget()
+        release()
 
     return docs.mapInArrow(run, schema)
 

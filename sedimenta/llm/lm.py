@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, added_up, answers, hashed_texts, in_groups, reply_table, REPLY, request_rows, request_table, text_bytes, texts, windows
+from .common import REQUEST, added_up, answers, hashed_texts, in_groups, release, reply_table, REPLY, request_rows, request_table, text_bytes, texts, windows
 from .language import fold
 
 ORDER, MU = 2, 40.0
@@ -99,6 +99,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
                 asked = {r[1] for r in rows}
                 rows += [(group, b, b"", b"") for b in range(buckets[0]) if b not in asked]
             out += rows
+        release()
         return request_table(out)
 
     def reply(table: pa.Table) -> pa.Table:
@@ -138,6 +139,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
         base = np.log10(automaton.unigram)
         known = counts[0] > 0
         cols = [(len(p), int(known[p].sum()), tokens, float(base[p].sum()), float(automaton.walk([by[i] for by in places]).sum())) for i, p in enumerate(places[0])]
+        release()
         return result(left, *map(np.array, zip(*cols, strict=True)))
 
     def result(left: pa.Table, n_tokens, n_known, tokens, base, total) -> pa.Table:

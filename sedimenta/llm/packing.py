@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Documents of a packing group, about.
 GROUP = 50_000
 CACHE_WORDS = 250_000
@@ -75,6 +77,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, capacity: int, en
                     rows.append((key.as_py(), i, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=[id_col, "piece", "start", "length", "ids_crc32", "ids"])
+        release()
 
     return docs.select(id_col, text).mapInArrow(cut, schema)
 

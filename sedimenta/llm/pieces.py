@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from .common import release
+
 SPACE = "▁".encode()
 #: Bytes of text of a result batch, about.
 BATCH = 4 << 20
@@ -153,6 +155,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     yield joined(batch.slice(first, i + 1 - first), out)
                     first, size, out = i + 1, 0, ([], [], [])
             yield joined(batch.slice(first), out)
+        release()
 
     def joined(rows: pa.RecordBatch, out: tuple[list, list, list]) -> pa.RecordBatch:
         added = [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import REQUEST, answers, flags, hashed_texts, in_groups, replies, request_rows, request_table, text_bytes, texts, windows
+from .common import REQUEST, answers, flags, hashed_texts, in_groups, release, replies, request_rows, request_table, text_bytes, texts, windows
 
 SIZE, SEED = 35, 12
 KEYS_PER_BUCKET = 1_500_000
@@ -69,10 +69,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     A word goes if it lies in a window of ``size`` words of its document whose words also start anywhere else, in any document.
     All windows are judged on the input, so that every copy of a passage goes.  Null, empty or blank text: no words, empty kept_text.
     Texts shorter than ``size`` words stay.  Null or repeated ids, and repeated rows, are documents of their own and repeat each other.
-    Other columns pass through; those named like an added one are replaced.  An empty table gives an empty result.  Windows are compared
-    by 64-bit hashes of words and their places.
+    Other columns pass through; those named like an added one are replaced, one named __grp is left out.  An empty table gives an empty
+    result.  Windows are compared by 64-bit hashes of words and their places.
     """
-    docs = docs.drop(*(c for c in ("kept_text", "n_words", "n_removed") if c in docs.columns))
+    docs = docs.drop(*(c for c in ("kept_text", "n_words", "n_removed", "__grp") if c in docs.columns))
     total = text_bytes(docs, text)
     grouped, _ = in_groups(docs, id_col, text, total)
     schema = StructType([*docs.schema.fields, StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
@@ -89,6 +89,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         _, keys, counts = known_anchors(read(table))
+        release()
         return request_table(request_rows(table.column("__grp")[0].as_py(), keys, counts, few))
 
     def candidates(hashes: list[np.ndarray], right: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -105,6 +106,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
             return request_table([])
         _, found = candidates(read(left), right)
         keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        release()
         return request_table(request_rows(left.column("__grp")[0].as_py(), keys, counts, many))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -127,6 +129,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
                 n_words.append(len(own))
                 n_removed.append(len(own) - len(stay))
         left = left.drop_columns(["__grp"])
+        release()
         return left.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string())).append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))
 
     # the same exchange of documents serves all three passes
