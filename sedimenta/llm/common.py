@@ -184,10 +184,28 @@ def request_rows(group: int, keys: np.ndarray, counts: np.ndarray, buckets: int,
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
         own = counts[a:b]
-        out.append((group, first + int(bucket[a]), keys[a:b].tobytes(), b"" if (own == 1).all() else own.astype("<u4").tobytes()))
+        out.append((group, first + int(bucket[a]), packed(keys[a:b]), b"" if (own == 1).all() else own.astype("<u4").tobytes()))
     return out
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the steps between them, each in as few bytes as the largest step needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    body = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + body.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint64)
+    width, body = data[0], np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    steps = np.zeros((len(body) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = body
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -205,7 +223,7 @@ def reply_table(rows: list[tuple]) -> pa.Table:
 def added_up(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups, ends of their requests, distinct keys, their total counts, and the place of each asked key among them."""
     groups = table.column("__grp").to_pylist()
-    keys = [np.frombuffer(k.as_py(), "<u8") for k in table.column("keys")]
+    keys = [unpacked(k.as_py()) for k in table.column("keys")]
     counts = [np.frombuffer(b, "<u4").astype(np.int64) if (b := c.as_py()) else np.ones(len(k), np.int64) for k, c in zip(keys, table.column("counts"), strict=True)]
     ends = np.cumsum([len(k) for k in keys])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)

@@ -155,6 +155,18 @@ def test_recall(spark):
     assert hits >= 0.9 * 5 * 50
 
 
+def test_packed_keys():
+    from sedimenta.llm.common import packed, unpacked
+
+    rng = np.random.default_rng(4)
+    for n, most in ((1, 2**64), (2, 2**64), (1000, 2**64), (1000, 2000), (3, 4)):
+        keys = np.unique(rng.integers(0, most - 1, n, np.uint64, endpoint=True))
+        assert (unpacked(packed(keys)) == keys).all()
+    assert len(unpacked(b"")) == 0
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    assert (unpacked(packed(ends)) == ends).all()
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(40)] + [(500, 500 + i) for i in range(1, 30)] + [(7, 7)]
