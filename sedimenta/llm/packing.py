@@ -21,6 +21,7 @@ from .common import release
 
 #: Documents of a packing group, about.
 GROUP = 50_000
+#: Words of a generation; two are remembered.
 CACHE_WORDS = 250_000
 PIECES = "{id} {type}, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -34,13 +35,17 @@ class WordIds(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
+        if (value := self.before.get(word)) is not None:
+            pass  # a word met again stays for another generation
+        elif len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
             value = self[word[:-1]] + self[word[-1:]]
         else:
             value = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
         self[word] = value
         return value
