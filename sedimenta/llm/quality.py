@@ -2,8 +2,8 @@
 
 Base rules judge a text alone.  The method looks across documents: normalised lines are hashed, the distinct documents of each host
 that hold a line are counted, lines above the host's limit are taken away, and a document of which too little stays is rejected.
-Copies of a document count as one: a document is told apart by the smallest among its normalised lines, so that a page which was merely
-crawled often doesn't make its own lines look like boilerplate.
+Copies of a document count as one: documents are told apart by a hash of the whole text, so that a page which was merely crawled often
+doesn't make its own lines look like boilerplate.
 """
 
 from __future__ import annotations
@@ -74,11 +74,11 @@ def normalised(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """__row, line (hash of host and normalised line), own (hash of the document's smallest line), words and place of each line with a word."""
+    """__row, line (hash of host and normalised line), own (hash of the document's text), words and place of each line with a word."""
     t = F.coalesce(F.col(text), F.lit(""))
     own_lines = F.filter(F.transform(F.split(t, "\n"), normalised), lambda x: x != "")
     hashes = lambda lines: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
-    both = let(own_lines, lambda lines: F.struct(F.xxhash64(F.array_min(lines)).alias("own"), hashes(lines).alias("lines")))
+    both = let(own_lines, lambda lines: F.struct(F.xxhash64(t).alias("own"), hashes(lines).alias("lines")))
     rows = docs.select(F.col("__row"), F.col(host).alias("host"), both.alias("both")).select("__row", "host", "both.own", F.posexplode("both.lines").alias("place", "x"))
     return rows.select("__row", "host", F.xxhash64(F.coalesce("host", F.lit("")), "x.h").alias("line"), "own", F.col("x.w").alias("words"), "place")
 

@@ -19,7 +19,7 @@ from sedimenta.llm.pieces import CharacterMap, encode, model
 from sedimenta.llm.quality import quality_rules
 from sedimenta.llm.substrings import drop_repeats
 
-from .cases import documents, empty, table, with_clashes
+from .cases import documents, empty, prose, table, with_clashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROWS = documents()
@@ -136,6 +136,14 @@ def test_quality_frequent_lines(spark):
     assert all(out[200 + i]["kept"] and out[200 + i]["removed_words"] == 0 for i in range(40))
 
 
+def test_quality_documents_that_share_their_smallest_line(spark):
+    common = "Subscribe to our newsletter today and never miss a story from all of our many friends and writers"
+    rows = [(i, f"# menu\n{prose(1000 + i, 40)}\n{common}", "en", "a", 0) for i in range(30)]
+    rows += [(100 + i, f"# shop\n{prose(77, 40)}", "en", "a", 0) for i in range(30)]  # copies are one document
+    out = {r["doc_id"]: r["removed_words"] for r in quality_rules(table(spark, rows), least=5, share=0.2).collect()}
+    assert out == {**{i: 20 for i in range(30)}, **{100 + i: 0 for i in range(30)}}
+
+
 def test_language_model(spark):
     docs = [(r[0], WORD.findall(lower(r[1])) + [0]) for r in ROWS]
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs]
