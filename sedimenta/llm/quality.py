@@ -84,7 +84,7 @@ def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float) -> DataFrame:
-    """Lines in more than max(least, share of the host's documents) distinct documents of a host."""
+    """Lines in more than max(least, share of the host's distinct documents) distinct documents of a host."""
     pairs = lines.groupBy("host", "line", "own").agg(F.lit(1).alias("one"))
     counts = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
     limits = hosts.select(F.col("host").alias("of"), "docs")
@@ -96,7 +96,7 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", h
 
     docs: any columns; id_col, text and host are used, all others pass through (an input column named like an added one is replaced).
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words (long), base_failed, kept (boolean).
-    least, share: a line goes if more distinct documents of its host hold it than both ``least`` and ``share`` of the host's documents.
+    least, share: a line goes if more distinct documents of its host hold it than both ``least`` and ``share`` of the host's distinct documents.
     A document is rejected if base_failed, or if it lost words that way and keeps fewer than ``min_words`` words or than ``keep_share``
     of its words.
     Null, empty or blank text: no words, so base_failed and not kept.  Null host: a host of its own.  Null or repeated ids: each row is
@@ -105,7 +105,8 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", h
     docs = docs.drop(*(c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "__row") if c in docs.columns))
     keyed = docs.withColumn("__row", F.xxhash64(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(host).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0")))))
     lines = document_lines(keyed, text, host)
-    hosts = docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("docs"))
+    own = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own")).distinct()
+    hosts = own.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     frequent = materialised(frequent_lines(lines, hosts, least, share))
     n = frequent.count()
     base = base_rules(keyed, text)

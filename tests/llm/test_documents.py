@@ -144,6 +144,13 @@ def test_quality_documents_that_share_their_smallest_line(spark):
     assert out == {**{i: 20 for i in range(30)}, **{100 + i: 0 for i in range(30)}}
 
 
+def test_quality_share_is_of_distinct_documents(spark):
+    common = "Subscribe to our newsletter today and never miss a story from all of our many friends and writers"
+    rows = [(i, f"{prose(1000 + i, 40)}\n{common}", "en", "a", 0) for i in range(20)] + [(100 + i, prose(77, 40), "en", "a", 0) for i in range(100)]
+    out = {r["doc_id"]: r["removed_words"] for r in quality_rules(table(spark, rows), least=5, share=0.2).collect()}
+    assert out == {**{i: 18 for i in range(20)}, **{100 + i: 0 for i in range(100)}}
+
+
 def test_language_model(spark):
     docs = [(r[0], WORD.findall(lower(r[1])) + [0]) for r in ROWS]
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs]
