@@ -93,6 +93,8 @@ QUERIES: dict[str, PipeQuery] = {
         "SELECT event_id, CASE WHEN floor(value) = value THEN value::BIGINT END AS a, CASE WHEN floor(value * 100.0) = value * 100.0 THEN (value * 100.0)::INTEGER END AS b FROM events"),
     "cast_int_to_float": PipeQuery(EV, "| filter event_id < 1000 | project event_id, a = cast(user_id as float64), b = try_cast(event_id * 9007199254740993 as float64)",
         "SELECT event_id, user_id::DOUBLE AS a, CASE WHEN (event_id * 9007199254740993)::DOUBLE::HUGEINT = event_id * 9007199254740993 THEN (event_id * 9007199254740993)::DOUBLE END AS b FROM events WHERE event_id < 1000"),
+    "cast_int_to_float_all": PipeQuery(EV, "| project event_id, a = cast(user_id as float64), b = try_cast(9007199254740993 + event_id as float64)",
+        "SELECT event_id, user_id::DOUBLE AS a, CASE WHEN (9007199254740993 + event_id)::DOUBLE::HUGEINT = 9007199254740993 + event_id THEN (9007199254740993 + event_id)::DOUBLE END AS b FROM events"),
     "rest_value": PipeQuery(EV, '| project event_id, k = try_cast(rest("k") as int64)',
         "SELECT event_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
     "rest_exists": PipeQuery(EV, '| project event_id, has = rest_exists("k"), hasnt = rest_exists("absent")',

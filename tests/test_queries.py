@@ -12,3 +12,9 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_sql(spark, name):
     compare(spark, queries()[name], oracle_sql()[name], SF)
+
+
+def test_int_to_float_casts_run_on_all_rows(spark):
+    out = queries()["cast_int_to_float_all"](spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert 0 < out.filter("b is null").count() < out.count()  # both exact and inexact values
