@@ -81,6 +81,8 @@ QUERIES: dict[str, PipeQuery] = {
         "SELECT event_id, (CASE WHEN event_id >= 5000 THEN (event_id - 5000) // 7 ELSE -((5000 - event_id) // 7) END)::BIGINT AS q, -user_id AS n, user_id * 3 + 1 AS p FROM events"),
     "project_literals": PipeQuery(EV, '| project event_id, a = 12, b = int32(-7), c = 1 + 2 * 3, d = 0.5, e = "té", f = true and null, g = float32(1.5), h = uint32(7) | take 3 | summarize n = count(), a = max(a), b = min(b), c = max(c), d = max(d), e = min(e), f = count(f), g = max(g), h = max(h)',
         "SELECT 3::BIGINT AS n, 12::BIGINT AS a, (-7)::INTEGER AS b, 7::BIGINT AS c, 0.5::DOUBLE AS d, 'té' AS e, 0::BIGINT AS f, 1.5::FLOAT AS g, 7::BIGINT AS h"),
+    "project_literals_all": PipeQuery(EV, '| project event_id, a = 12, b = int32(-7), c = 1 + 2 * 3, d = 0.5, e = "té", f = true and null, g = float32(1.5), h = uint32(7) | summarize n = count(), a = max(a), b = min(b), c = max(c), d = max(d), e = min(e), f = count(f), g = max(g), h = max(h)',
+        "SELECT count(*) AS n, max(12)::BIGINT AS a, min(-7)::INTEGER AS b, max(7)::BIGINT AS c, max(0.5::DOUBLE) AS d, min('té') AS e, 0::BIGINT AS f, max(1.5::FLOAT) AS g, max(7)::BIGINT AS h FROM events"),
     "project_widen": PipeQuery("lineitem", "| project l_orderkey, a = l_linenumber + 1, b = l_linenumber * l_orderkey, c = l_linenumber * l_quantity",
         "SELECT l_orderkey, l_linenumber + 1 AS a, l_linenumber::BIGINT * l_orderkey AS b, l_linenumber::DOUBLE * l_quantity AS c FROM lineitem"),
     "project_bool": PipeQuery(EV, '| project event_id, a = value > 50.0, b = event_type == "click" or value > 50.0, c = not (value > 50.0)',
@@ -103,6 +105,10 @@ QUERIES: dict[str, PipeQuery] = {
         "SELECT event_id, event_type, value FROM events ORDER BY event_type NULLS LAST, value DESC NULLS LAST, event_id NULLS LAST LIMIT 500"),
     "sort_nulls": PipeQuery(EV, "| project event_id, v = try_cast(value * 10.0 as int64) | sort -v, event_id | take 300",
         "SELECT event_id, CASE WHEN floor(value * 10.0) = value * 10.0 THEN (value * 10.0)::BIGINT END AS v FROM events ORDER BY v DESC NULLS LAST, event_id LIMIT 300"),
+    "sort_multi_all": PipeQuery(EV, "| sort by event_type, -value, event_id | project event_id, event_type, value",
+        "SELECT event_id, event_type, value FROM events ORDER BY event_type NULLS LAST, value DESC NULLS LAST, event_id NULLS LAST"),
+    "sort_nulls_all": PipeQuery(EV, "| project event_id, v = try_cast(value * 10.0 as int64) | sort -v, event_id",
+        "SELECT event_id, CASE WHEN floor(value * 10.0) = value * 10.0 THEN (value * 10.0)::BIGINT END AS v FROM events ORDER BY v DESC NULLS LAST, event_id"),
     "take_zero": PipeQuery(EV, "| project event_id, value | take 0", "SELECT event_id, value FROM events LIMIT 0"),
     "topk": PipeQuery("orders", "| sort -o_totalprice, o_orderkey | take 10 | project o_orderkey, o_totalprice",
         "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10"),
