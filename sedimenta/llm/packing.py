@@ -51,8 +51,14 @@ class WordIds(dict):
         return value
 
     def ids(self, text: bytes) -> bytes:
-        # upper case is only kept where a special token's own spelling may matter
-        words = (text if b"<|" in text else text.lower()).split()
+        # upper case is only kept where a special token's own spelling may matter, or composition with U+0300 to U+036F, which comes
+        # before lower case
+        if b"<|" in text:
+            words = text.split()
+        elif b"\xcc" in text or b"\xcd" in text:
+            words = [w.lower() if w.isascii() else w for w in text.split()]
+        else:
+            words = text.lower().split()
         return b"".join(map(self.__getitem__, words))
 
 

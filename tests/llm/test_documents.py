@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm.jaccard import join_similar, keep_one
 from sedimenta.llm.language import fold, identify
 from sedimenta.llm.lm import MU, score
-from sedimenta.llm.packing import best_two_fit, pack
+from sedimenta.llm.packing import best_two_fit, pack, tokenizer
 from sedimenta.llm.pieces import CharacterMap, encode, model
 from sedimenta.llm.quality import quality_rules
 from sedimenta.llm.substrings import drop_repeats
@@ -267,6 +267,14 @@ def test_best_two_fit():
         best_two_fit(np.array([5]), 4)
 
 
+def test_packing_composes_before_it_lowers():
+    from tokenizers import Tokenizer
+
+    tok, words = Tokenizer.from_file(BPE), tokenizer(BPE)
+    for text in ("H\u0331", "J\u030c a", "T\u0308", "xW\u030a.", "Y\u030a, Plain E\u0301 É"):
+        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces(spark):
     m = model(PIECES)
     out = encode(with_clashes(table(spark)), PIECES).select("doc_id", "text", "ids", "spans", "decoded").collect()
