@@ -1,8 +1,8 @@
-"""Substring deduplication by seed and extend.
+"""Substring deduplication by seeds and counted windows.
 
 Every run of SIZE words holds, among the hashes of its SEED-word runs, a smallest one: its anchor (winnowing).  Equal windows have equal
 anchors, so documents are joined on anchors first, and only windows whose anchor is found in two places or more are looked at again.
-Around each such seed the match is extended both ways, window by window, as far as the same words are found elsewhere; overlapping
+Nothing is extended pairwise: every window with a repeated anchor is hashed and counted, so each one is decided on its own; overlapping
 repeated windows merge into maximal repeats of SIZE words or more, and their words are taken out.
 
 Both joins are count exchanges (see ``common``): a group of documents sends each distinct anchor or window once, with its count, however
