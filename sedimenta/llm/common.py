@@ -7,10 +7,12 @@ Hashes have 64 bits: two different keys count as equal with a chance of about n*
 from __future__ import annotations
 
 import ctypes
-import gc
 import math
+import os
+import tempfile
 import uuid
 import weakref
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -110,23 +112,41 @@ def texts(column: pa.ChunkedArray | pa.Array):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends, at the latest."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/sedimenta-checkpoints"
-    return f"{base.rstrip('/')}/sedimenta-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "sedimenta-checkpoints")
+    path = f"{base.rstrip('/')}/sedimenta-{uuid.uuid4().hex}"
+    at, fs = hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
-def materialised(df: DataFrame, large: bool = False) -> DataFrame:
-    """Writes the frame as a table in the shared folder and reads it back: the lineage ends there.
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: With this setting Spark deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    large: also has the driver collect its garbage, upon which Spark deletes the shuffle files that led to the table."""
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Writes the frame as a table in the shared folder and reads it back: the lineage ends there, and so do the shuffle files before it."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    if large:
-        gc.collect()
-        spark._jvm.java.lang.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(f"{path}/table")
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(f"{path}/table")
     _PATHS[id(out)] = (weakref.ref(out, lambda _, i=id(out): _PATHS.pop(i, None)), path)
     return out
 
@@ -134,11 +154,29 @@ def materialised(df: DataFrame, large: bool = False) -> DataFrame:
 _PATHS: dict[int, tuple] = {}
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table of a materialised frame that nothing to come will read, lost tasks included."""
-    spark, (_, path) = df.sparkSession, _PATHS.pop(id(df))
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of materialised frames that nothing to come will read, lost tasks included."""
+    for df in frames:
+        at, fs = hadoop(df.sparkSession, _PATHS.pop(id(df))[1])
+        fs.delete(at, True)
+
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with its columns of these names (in any case of letters) renamed, and what renames them back."""
+    back = {}
+    for c in df.columns:
+        if c.lower() in names:
+            back[free_name(f"__aside_{c}", df)] = c
+            df = df.withColumnRenamed(c, list(back)[-1])
+    return df, lambda out: out.withColumnsRenamed(back)
 
 
 def release() -> None:
@@ -161,11 +199,37 @@ def text_bytes(docs: DataFrame, text: str) -> tuple[int, int]:
 
 
 def in_groups(docs: DataFrame, id_col: str, text: str, size: tuple[int, int], target: int = 8 << 20) -> tuple[DataFrame, int]:
-    """Deals documents into groups of about ``target`` bytes (column __grp) by a hash of the id, or of the text where it is null."""
+    """Deals documents into groups of about ``target`` bytes (column __grp) by a hash of id and text, so that neither a repeated id nor a
+    repeated text falls into one group."""
     rows, total = size
     groups = max(1, math.ceil(total / target), math.ceil(rows / 100_000))
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")))
-    return docs.withColumn("__grp", F.pmod(key, F.lit(groups))), groups
+    return docs.withColumn("__grp", F.pmod(F.xxhash64(F.col(id_col).cast("string"), text), F.lit(groups))), groups
+
+
+def spread(keys: np.ndarray) -> np.ndarray:
+    """One to one, and even in the upper bits, by which keys are dealt: smallest hashes, as anchors are, would nearly all fall into the
+    first bucket."""
+    with np.errstate(over="ignore"):
+        return keys.astype(np.uint64) * MULTIPLIER
+
+
+#: Rows of a narrow table that is broadcast at most.
+MOST_BROADCAST = 200_000
+#: Keys that count as hot at most: those with more than this part of all rows.
+MOST_HOT = 10_000
+
+
+def with_one(rows: DataFrame, ones: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """rows, each with the row of ``ones`` of its key, if any; ones: narrow, one row for each key.  Both are tables.
+
+    A small ``ones`` is broadcast (``bound``: a number that it has no more rows than).  Else the keys with more than 1/MOST_HOT of the
+    rows are joined by a broadcast of just theirs, fewer than MOST_HOT, and the other keys by a shuffle: no key fills a task."""
+    if (ones.count() if bound is None else bound) <= MOST_BROADCAST:
+        return rows.join(F.broadcast(ones), key, "left")
+    least = rows.count() / MOST_HOT
+    hot = F.broadcast(materialised(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select(key)))
+    often = rows.join(hot, key, "left_semi").join(F.broadcast(ones.join(hot, key, "left_semi")), key, "left")
+    return often.unionByName(rows.join(hot, key, "left_anti").join(ones, key, "left"))
 
 
 # The count exchange.  Each group of documents asks once for each distinct key that it holds; a bucket of keys adds up what all
@@ -175,8 +239,9 @@ REQUEST = "__grp long, bucket int, keys binary, counts binary"
 REPLY = "__grp long, bucket int, round int, answer binary"
 
 
-def request_rows(group: int, keys: np.ndarray, counts: np.ndarray, buckets: int, first: int = 0) -> list[tuple]:
-    """keys: sorted and distinct.  Buckets are ranges of keys, so that answers in bucket order are in key order."""
+def request_rows(group: int, keys: np.ndarray, counts: np.ndarray, buckets: int, first: int = 0, low: int = 0) -> list[tuple]:
+    """keys: sorted and distinct.  Buckets are ranges of keys, so that answers in bucket order are in key order.  low: bits that are
+    zero in all keys and needn't be sent."""
     if not len(keys):
         return []
     bucket = bucket_of(keys, buckets)
@@ -184,7 +249,20 @@ def request_rows(group: int, keys: np.ndarray, counts: np.ndarray, buckets: int,
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
         own = counts[a:b]
-        out.append((group, first + int(bucket[a]), packed(keys[a:b]), b"" if (own == 1).all() else own.astype("<u4").tobytes()))
+        out.append((group, first + int(bucket[a]), packed(keys[a:b] >> np.uint64(low)), b"" if (own == 1).all() else counted(own)))
+    return out
+
+
+def counted(n: np.ndarray) -> bytes:
+    """Counts in a byte each, the large ones apart, compressed."""
+    large = n > 254
+    return zlib.compress(np.where(large, 255, n).astype(np.uint8).tobytes() + n[large].astype("<u4").tobytes(), 1)
+
+
+def uncounted(data: bytes, size: int) -> np.ndarray:
+    raw = zlib.decompress(data)
+    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u4", offset=size)
     return out
 
 
@@ -224,7 +302,7 @@ def added_up(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.nda
     """Groups, ends of their requests, distinct keys, their total counts, and the place of each asked key among them."""
     groups = table.column("__grp").to_pylist()
     keys = [unpacked(k.as_py()) for k in table.column("keys")]
-    counts = [np.frombuffer(b, "<u4").astype(np.int64) if (b := c.as_py()) else np.ones(len(k), np.int64) for k, c in zip(keys, table.column("counts"), strict=True)]
+    counts = [uncounted(b, len(k)) if (b := c.as_py()) else np.ones(len(k), np.int64) for k, c in zip(keys, table.column("counts"), strict=True)]
     ends = np.cumsum([len(k) for k in keys])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)

@@ -6,7 +6,8 @@ shingles therefore meets each linked pair.
 
 Relations between sets save most of the work:
   * equal sets are one set: only its representative is listed;
-  * a list is cut into blocks by set size and position, and two blocks whose sizes or positions lie too far apart are skipped whole;
+  * a list is cut into blocks by set size and position, and two blocks whose sizes or positions lie too far apart are skipped whole; the
+    blocks of a list of more than LONG entries are dealt to tasks by pairs;
   * in a first round each set meets one pivot only, that with which it shares most lists.  What is then known of two sets and their common
     pivot bounds their own overlap: overlap(A, X) + overlap(Y, X) - |X| <= overlap(A, Y) <= overlap(A, X) + |Y| - overlap(Y, X).
     So most answers of a set follow from those of the set it resembles, and only pairs that stay open, in different components, are
@@ -24,10 +25,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import REQUEST, answers, discard, flags, hashed_texts, in_groups, materialised, release, replies, request_rows, request_table, text_bytes, texts, windows
+from .common import MOST_BROADCAST, REQUEST, answers, discard, free_name, flags, hashed_texts, in_groups, materialised, release, replies, request_rows, request_table, spread, text_bytes, texts, windows, with_one
 from .components import components
 
 SIZE = 5
@@ -35,6 +36,8 @@ HEAVY, LOCAL, COUNT_BLOCK = 1 << 17, 4, 3_000_000
 FIRST_HEAVY = np.int64(1 << 62)
 KEYS_PER_BUCKET = 1_500_000
 LIST_BLOCK = 1024
+#: Entries of a list that one task holds; pairs of one set that one task counts out.
+LONG, MOST_PAIRS = 50_000, 1_000
 #: Bytes kept of a shingle's hash for counting overlaps of two sets.
 WIDTH = 6
 
@@ -138,8 +141,6 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-#: Rows of a narrow table that is broadcast at most; beyond that it is joined by a shuffle.
-MOST_BROADCAST = 500_000
 SETS = "row long, rid long, n int, sig binary, keys array<long>, listed int, last long, b0 long, b1 long, b2 long, b3 long"
 
 
@@ -202,11 +203,6 @@ def row_key(id_col: str, text: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0")))
 
 
-def spread(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
 def bitmap(keys: np.ndarray) -> list[int]:
     """256 bits, one of which each key sets."""
     bits = np.zeros(256, np.uint8)
@@ -329,9 +325,9 @@ def open_in_list(columns):
 
 def open_among(columns, i, j):
     """Of the rows i and j, those pairs that stay open; n[i] <= n[j]."""
-    _, rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n = columns
+    _, rid, n, pos, last, listed, b0, b1, b2, b3, comp, pivot, overlap, pivot_n, side = columns
     bits = [b.view(np.uint64) for b in (b0, b1, b2, b3)]
-    stay = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j])
+    stay = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 0)) & possible(n[i], n[j], pos[i], pos[j])
     i, j = i[stay], j[stay]
     stay = enough(n[i], n[j], last[i], last[j], listed[i], listed[j], [b[i] for b in bits], [b[j] for b in bits])
     i, j = i[stay], j[stay]
@@ -382,39 +378,97 @@ def counted_out(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str,
             yield pa.record_batch([get("a"), get("b"), pa.array(overlap, pa.int32()), pa.array(linked, pa.bool_()), pa.array(n, pa.int32())], names=["a", "b", "overlap", "linked", "na"])
 
     made = materialised(rows.mapInArrow(make, "rid long, elements binary"))
-    own = made.select(F.col("rid").alias("a"), F.col("elements").alias("x"))
-    other = made.select(F.col("rid").alias("b"), F.col("elements").alias("y"))
-    out = materialised(pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, overlap int, linked boolean, na int"), large=True)
-    discard(made)
+    both = with_elements(with_elements(pairs.select("a", "b"), made, "a", "x"), made, "b", "y")
+    out = materialised(both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, overlap int, linked boolean, na int"))
+    discard(made, asked)
     return out.dropDuplicates(["a", "b"])
 
 
+def with_elements(pairs: DataFrame, made: DataFrame, end: str, name: str) -> DataFrame:
+    """pairs with the elements of the set at one end.  A set in more than MOST_PAIRS pairs has a copy for each so many of them."""
+    often = materialised(pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / MOST_PAIRS).alias("copies")).filter("copies > 1"))
+    many = often.count()
+    own = made.select(F.col("rid").alias(end), F.col("elements").alias(name))
+    if not many:
+        return pairs.join(own, end)
+    known = F.broadcast(often) if many <= MOST_BROADCAST else often
+    copies = F.coalesce("copies", F.lit(1))
+    other = F.col("b" if end == "a" else "a")
+    own = own.join(known, end, "left").select(end, name, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    return pairs.join(known, end, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies)).join(own, [end, "copy"]).drop("copy", "copies")
+
+
+def long_lists(postings: DataFrame) -> DataFrame | None:
+    """key, parts of the lists of more than LONG entries, if there are any."""
+    long = materialised(postings.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LONG).alias("parts")).filter("parts > 1"))
+    return long if long.count() else None
+
+
+def parted(postings: DataFrame, long: DataFrame | None) -> DataFrame:
+    """Lists with LONG entries or so; a part of a longer one is a list of its own, which is enough to meet pivots."""
+    if long is None:
+        return postings
+    part = F.xxhash64("key", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    return with_one(postings, long, "key").withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(part)).drop("parts")
+
+
+def in_block_pairs(state: DataFrame, long: DataFrame | None) -> DataFrame:
+    """Lists in which all pairs of entries meet that can be open, with side 0; a long list becomes lists of two blocks, sides 1 and 2.
+
+    Blocks are made by set size (sizes of linked sets differ by a quarter at most, so only blocks of the same or of neighbouring size
+    classes meet) and by whether an entry is in the list's largest component, whose entries needn't meet one another."""
+    if long is None:
+        return state.withColumn("side", F.lit(0))
+    marked = materialised(with_one(state, long, "key"))
+    short = marked.filter("parts is null").drop("parts").withColumn("side", F.lit(0))
+    rest = marked.filter("parts is not null").drop("parts")
+    largest = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+    sized = with_one(rest, largest, "key").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25))).withColumn("in_largest", F.col("comp") == F.col("largest"))
+    held = sized.groupBy("key", "size", "in_largest").agg(F.ceil(F.count(F.lit(1)) / (LONG / 2)).alias("salts"))
+    blocks = materialised(held.select("key", "size", "in_largest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "salts"))
+    block = F.struct("size", "in_largest", "salt")
+    one, two = blocks.select("key", block.alias("one")), blocks.select("key", block.alias("two"))
+    met = one.join(two, "key").filter("one <= two and two.size - one.size <= 1 and not (one.in_largest and two.in_largest)").withColumn("list", F.xxhash64("key", "one", "two"))
+    sides = met.select("key", "one.*", "list", F.when(F.col("one") == F.col("two"), 0).otherwise(1).alias("side")).unionByName(met.filter("one <> two").select("key", "two.*", "list", F.lit(2).alias("side")))
+    sides = sides.join(blocks, ["key", "size", "in_largest", "salt"]).groupBy("key", "size", "in_largest", "salts").agg(F.collect_list(F.struct("salt", "list", "side")).alias("lists"))
+    placed = sized.join(sides, ["key", "size", "in_largest"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("salts")))
+    placed = placed.withColumn("x", F.explode(F.filter("lists", lambda x: x["salt"] == F.col("own"))))
+    return short.unionByName(placed.withColumn("key", F.col("x.list")).withColumn("side", F.col("x.side")).select(*short.columns))
+
+
 def grouped_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id_col, row, rid, n_shingles and root (a number of the component; null without shingles) of each row of docs."""
-    sets = materialised(document_sets(docs, id_col, text), large=True)
-    reps = materialised(sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("rep")))
+    """id_col, row, rid, n_shingles, root (a number of the component; null without shingles) and least (its smallest id) of each row."""
+    sets = materialised(document_sets(docs, id_col, text))
+    reps = materialised(sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("rep"), F.min(id_col).alias("least")))
     listed = sets.filter("keys is not null").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
     postings = materialised(listed.select("rid", "n", "last", "listed", *BITS, F.posexplode("keys").alias("pos", "key")).filter("key >= 0").select("key", "rid", "n", "pos", "last", "listed", *BITS))
+    long = long_lists(postings)
     lists = lambda df: df.repartition("key").sortWithinPartitions("key", "rid")
-    stars = lists(postings).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS], star_pairs), PAIRS)
-    best = materialised(candidates(stars).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")), large=True)
+    stars = lists(parted(postings, long)).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS], star_pairs), PAIRS)
+    best = materialised(candidates(stars).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")))
     first = counted_out(best, sets, docs, id_col, text)
     links = first.filter("linked").select("a", "b")
     roots = components(links)
     # what is known of each set now: its component, and its overlap with its pivot
     met = first.select(F.col("b").alias("rid"), F.col("a").alias("pivot"), "overlap", F.col("na").alias("pivot_n"))
     found = materialised(roots.select(F.col("node").alias("rid"), "root").join(met, "rid", "full"))
-    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
-    state = postings.join(found, "rid", "left").select("key", "rid", "n", "pos", "last", "listed", *BITS, F.coalesce("root", "rid").alias("comp"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"))
+    known = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    state = postings.join(known, "rid", "left").select("key", "rid", "n", "pos", "last", "listed", *BITS, F.coalesce("root", "rid").alias("comp"), F.coalesce("pivot", F.lit(-1)).alias("pivot"), F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("pivot_n", F.lit(0)).alias("pivot_n"))
     # a list must be whole in one task: nothing before this shuffle may be dealt by key, else the shuffle would be left out
-    opened = lists(state).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS, "comp", "pivot", "overlap", "pivot_n"], open_pairs), PAIRS)
-    pairs = materialised(candidates(opened), large=True)
-    discard(postings)
+    opened = lists(in_block_pairs(state, long)).mapInArrow(streamed(["key", "rid", "n", "pos", "last", "listed", *BITS, "comp", "pivot", "overlap", "pivot_n", "side"], open_pairs), PAIRS)
+    pairs = materialised(candidates(opened))
+    discard(postings, found)
     more = counted_out(pairs.filter("not known"), sets, docs, id_col, text).filter("linked").select("a", "b")
     roots = components(links.unionByName(more).unionByName(pairs.filter("known").select("a", "b")))
-    rooted = reps.join(roots, reps["rep"] == roots["node"], "left").select("sig", F.coalesce("root", "rep").alias("root"))
-    rows = sets.select(id_col, "row", "rid", "n", "sig").join(rooted, "sig", "left")
-    return rows.select(id_col, "row", "rid", F.col("n").cast("long").alias("n_shingles"), "root")
+    # the smallest id of each component of two sets or more
+    members = materialised(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(reps.select(F.col("rep").alias("node"), "least"), "node"))
+    least = materialised(members.groupBy("root").agg(F.min("least").alias("least")))
+    named = with_one(members.drop("least"), least, "root").withColumnRenamed("node", "rep")
+    rooted = materialised(reps.withColumnRenamed("least", "own").join(named, "rep", "left").select("sig", F.coalesce("root", "rep").alias("root"), F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("least")).alias("least")))
+    rows = sets.select(id_col, "row", "rid", F.col("n").cast("long").alias("n_shingles"), "sig")
+    some = with_one(rows.filter("n_shingles > 0"), rooted, "sig").drop("sig")
+    none = rows.filter("n_shingles = 0").select(id_col, "row", "rid", "n_shingles", F.lit(None).cast("long").alias("root"), F.col(id_col).alias("least"))
+    return some.unionByName(none)
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -425,26 +479,31 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     the row's own id.  Null ids take part and get the smallest id that isn't null, if any.  Repeated ids and rows are documents of their
     own (and so linked if not empty).  Other columns are ignored.  An empty table gives an empty result.  Whole texts are read.
     """
-    rows = grouped_rows(docs, id_col, text)
-    least = rows.filter("root is not null").groupBy("root").agg(F.min(id_col).alias("least"))
-    out = rows.join(least, "root", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
+    return grouped_rows(docs, id_col, text).select(id_col, "n_shingles", F.col("least").alias("component_id"))
+
+
+def has_words(text: str) -> Column:
+    return F.length(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "")) > 0
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, a null id last; rows without shingles all stay.
+    """docs with one row of each component: that with the smallest id, a null id last, and among equal ids any.
 
-    All columns pass through unchanged.  Of rows equal in id and text one stays.
+    Rows without words all stay, repeated ones too.  Of rows that are equal in id and text, and have words, one stays: that whose other
+    columns have the smallest hash.  All columns pass through unchanged, whatever their names.  An empty table gives an empty result.
     """
     found = materialised(grouped_rows(docs, id_col, text))
+    row = free_name("__row", docs)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("rid"))
-    kept = found.filter("root is not null").groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row")
-    kept = materialised(kept.unionByName(found.filter("root is null").select(F.col("row").alias("__row"))).distinct())
+    kept = materialised(found.filter("root is not null").groupBy("root").agg(F.min_by("row", order).alias(row)).select(row).distinct())
     keys = F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
-    out = docs.withColumn("__row", row_key(id_col, text)).join(keys, "__row", "left_semi")
+    out = docs.filter(has_words(text)).withColumn(row, row_key(id_col, text)).join(keys, row, "left_semi")
     if found.filter("root is not null").groupBy("row").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["__row"])
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        names = [f"`{c}`" for c in docs.columns]
+        rest = F.xxhash64(*[F.to_json(F.struct(c)) for c in names])
+        out = out.groupBy(row).agg(F.min_by(F.struct(*names), rest).alias(row + "_")).select(f"{row}_.*")
+    discard(found)
+    return out.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter(~has_words(text)))
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
