@@ -8,10 +8,10 @@ Events (columns conv, seq, kind, msg, role, text):
   start       opens message ``msg`` with a role (and perhaps text)
   delta       appends text to message ``msg``
   edit        replaces the text of message ``msg`` so far; the deltas after it append to the new text
-  regenerate  empties message ``msg`` and undoes all that came before it in later messages of the conversation
+  regenerate  empties message ``msg`` and undoes all that came before it in later messages of the conversation, whole ones included
 
 The fold needs no loop over events: what counts of a message is its events from its last start, edit or regenerate on, unless an
-earlier message was regenerated after them.
+earlier message was regenerated after them.  A whole message counts unless an earlier one was regenerated after it.
 
 Template: ``<turn ROLE>TEXT</turn>`` and a line feed.  In roles and texts ``\\`` becomes ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes
 ``\\g``, so that no text can hold a mark; :func:`unescaped` restores it exactly.
@@ -51,22 +51,26 @@ def final_messages(events: DataFrame) -> DataFrame:
     known = ["message", "start", "delta", "edit", "regenerate"]
     bad = F.raise_error(F.concat(F.lit("unknown event kind: "), F.coalesce("kind", F.lit("null"))))
     e = events.select(*EVENTS[:2], F.when(F.col("kind").isin(known), F.col("kind")).otherwise(bad).alias("kind"), *EVENTS[3:])
-    whole = e.filter(F.col("kind") == "message").select("conv", "msg", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = e.filter(F.col("kind") != "message")
-    resets = F.col("kind").isin("start", "edit", "regenerate")
     at = F.struct("seq", "kind", "role", "text")
-    messages = parts.groupBy("conv", "msg").agg(
+    whole = F.col("kind") == "message"
+    resets = F.col("kind").isin("start", "edit", "regenerate")
+    messages = e.groupBy("conv", "msg").agg(
         F.max(F.when(resets, at)).alias("reset"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("regenerated"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), at)).alias("role"),
-        F.collect_list(F.struct("seq", "kind", "role", "text")).alias("log"),
+        F.max_by("role", F.when(~whole & F.col("role").isNotNull(), at)).alias("role"),
+        F.collect_list(F.when(~whole, at)).alias("log"),
+        F.collect_list(F.when(whole, at)).alias("whole"),
     )
     before = Window.partitionBy("conv").orderBy(F.col("msg").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     alive = messages.withColumn("undone", F.max("regenerated").over(before))
-    counts = lambda x: (F.col("reset").isNull() | (x >= F.col("reset"))) & (F.col("undone").isNull() | (x["seq"] > F.col("undone")))
-    folded = alive.withColumn("log", F.filter(F.array_sort("log"), counts)).filter(F.size("log") > 0)
-    text = F.array_join(F.transform("log", lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return whole.unionByName(folded.select("conv", "msg", F.element_at("log", 1)["seq"].alias("seq"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text")))
+    stays = lambda x: F.col("undone").isNull() | F.coalesce(x["seq"] > F.col("undone"), F.lit(False))
+    counts = lambda x: (F.col("reset").isNull() | (x >= F.col("reset"))) & stays(x)
+    said = lambda seq, role, text: F.struct(seq.alias("seq"), F.coalesce(role, F.lit("")).alias("role"), text.alias("text"))
+    text = lambda log: F.array_join(F.transform(log, lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    folded = alive.withColumn("log", F.filter(F.array_sort("log"), counts))
+    own = F.when(F.size("log") > 0, F.array(said(F.get("log", F.lit(0))["seq"], F.col("role"), text(F.col("log"))))).otherwise(F.array())
+    others = F.transform(F.filter("whole", stays), lambda x: said(x["seq"], x["role"], F.coalesce(x["text"], F.lit(""))))
+    return folded.select("conv", "msg", F.inline(F.concat(own, others)))
 
 
 def format_chats(events: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFrame:
@@ -96,12 +100,37 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.transform(parts, body), lambda x: F.struct(unescaped(F.substring_index(x, MIDDLE, 1)).alias("role"), unescaped(F.substr(x, F.instr(x, MIDDLE) + 1)).alias("text")))
 
 
+#: Events of a turn at most.
+STEPS = 5
+#: What an edit or a regeneration takes away again.
+DRAFT = "a first answer, taken back "
+
+
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as events: each row is a whole message."""
-    return conversations.select(F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("msg"), "role", "text")
+    """Rows of (conv_id, turn, role, text) as the log of a streaming client.
+
+    A turn is opened without text and streamed in two deltas.  By its place in the conversation it also has a past: of each four turns
+    the second begins with a draft and is regenerated, the third begins with one that an edit replaces by the first half of the text.
+    Equal turn numbers are messages of their own, in the order of role and text; null text: empty.
+    """
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("msg", F.row_number().over(order).cast("long"))
+    half = F.shiftright(F.length("text"), 1)
+    first, second = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+    none, draft = F.lit(None).cast("string"), F.lit(DRAFT)
+    begin, halves = event("start", none, F.col("role")), (event("delta", first), event("delta", second))
+    past = F.col("msg") % 4
+    log = (
+        F.when(past == 2, F.array(begin, event("delta", draft), event("regenerate", none), *halves))
+        .when(past == 3, F.array(begin, event("delta", draft), event("edit", first), halves[1]))
+        .otherwise(F.array(begin, *halves))
+    )
+    return rows.select("conv", "msg", F.posexplode(log).alias("step", "x")).select("conv", (F.col("msg") * STEPS + F.col("step")).alias("seq"), "x.kind", "msg", "x.role", "x.text")
 
 
 def op4_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations as logs of events (``conversation_events``), folded into messages, rendered and read back."""
     added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("x"))
     added = added.select("conv_id", "x.turn", "x.role", F.lit("\\### Assistant: </turn> ok").alias("text"))
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(added)
