@@ -6,6 +6,7 @@ learned trees; tests hold those against brute force.
 
 from __future__ import annotations
 
+from .quality import LEAST, SHARE
 from .urls import LISTED_HOST, LOWER, RULES, TRACKING, UPPER
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,13 +46,13 @@ win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS pos, ws FROM w WHERE len
 k AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[pos:pos + 7], ' ')) > 1 AS twice FROM win),
 c AS (SELECT doc_id, unnest(range(pos, pos + 8)) AS spot FROM k WHERE twice),
 rep AS (SELECT doc_id, count(DISTINCT spot) AS n FROM c GROUP BY doc_id),
-raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM w),
+raw AS (SELECT doc_id, source, md5(t) AS own, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM w),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-norm AS (SELECT doc_id, source, place, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '{SPACE}', ' ', 'g')) AS line FROM raw),
-ln AS (SELECT *, min(line) OVER (PARTITION BY doc_id) AS own FROM norm WHERE line <> ''),
+norm AS (SELECT doc_id, source, own, place, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '{SPACE}', ' ', 'g')) AS line FROM raw),
+ln AS (SELECT * FROM norm WHERE line <> ''),
 cnt AS (SELECT source, line, count(DISTINCT own) AS n FROM ln GROUP BY 1, 2),
-host AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1),
-freq AS (SELECT cnt.source, line FROM cnt JOIN host USING (source) WHERE n > 100 AND n > 0.2 * docs),
+host AS (SELECT source, count(DISTINCT md5(t)) AS docs FROM w GROUP BY 1),
+freq AS (SELECT cnt.source, line FROM cnt JOIN host USING (source) WHERE n > {LEAST} AND n > {SHARE} * docs),
 lost AS (SELECT ln.doc_id, sum(len(string_split(ln.line, ' '))) AS n FROM ln JOIN freq ON ln.source = freq.source AND ln.line = freq.line GROUP BY 1),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars, (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
       coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS removed_words

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import free_name, materialised
 
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of a repeated window.
 WINDOW = 8
+#: A line is taken away if more distinct documents of its host hold it than both this number and this share of them.
+LEAST, SHARE = 20, 0.05
 #: Frequent lines that are broadcast at most; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -56,15 +58,16 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " " + SPACES, "") != "")
+    words = free_name("__words", docs)
     return (
-        docs.withColumn("__words", words_of(t))
-        .withColumn("n_words", F.size("__words").cast("long"))
+        docs.withColumn(words, words_of(t))
+        .withColumn("n_words", F.size(words).cast("long"))
         .withColumn("word_chars", F.length(F.translate(t, " " + SPACES, "")).cast("long"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("__words")).cast("long"))
+        .withColumn("n_repeat_words", repeated_words(F.col(words)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-        .drop("__words")
+        .drop(words)
     )
 
 
@@ -73,14 +76,14 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), "[\\x20\\x09-\\x0D]+", " "))
 
 
-def document_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """__row, line (hash of host and normalised line), own (hash of the document's text), words and place of each line with a word."""
+def document_lines(docs: DataFrame, row: str, text: str, host: str) -> DataFrame:
+    """row, line (hash of host and normalised line), own (hash of the document's text), words and place of each line with a word."""
     t = F.coalesce(F.col(text), F.lit(""))
     own_lines = F.filter(F.transform(F.split(t, "\n"), normalised), lambda x: x != "")
     hashes = lambda lines: F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
     both = let(own_lines, lambda lines: F.struct(F.xxhash64(t).alias("own"), hashes(lines).alias("lines")))
-    rows = docs.select(F.col("__row"), F.col(host).alias("host"), both.alias("both")).select("__row", "host", "both.own", F.posexplode("both.lines").alias("place", "x"))
-    return rows.select("__row", "host", F.xxhash64(F.coalesce("host", F.lit("")), "x.h").alias("line"), "own", F.col("x.w").alias("words"), "place")
+    rows = docs.select(F.col(row).alias("row"), F.col(host).alias("host"), both.alias("both")).select("row", "host", "both.own", F.posexplode("both.lines").alias("place", "x"))
+    return rows.select("row", "host", F.xxhash64(F.coalesce("host", F.lit("")), "x.h").alias("line"), "own", F.col("x.w").alias("words"), "place")
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float) -> DataFrame:
@@ -91,7 +94,7 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float)
     return counts.join(limits, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > share * F.col("docs")).select("line").distinct()
 
 
-def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", host: str = "source", least: int = 100, share: float = 0.2, keep_share: float = 0.3, min_words: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", host: str = "source", least: int = LEAST, share: float = SHARE, keep_share: float = 0.3, min_words: int = 20) -> DataFrame:
     """Judges each document by the base rules and by how much of it stays without its host's frequent lines.
 
     docs: any columns; id_col, text and host are used, all others pass through (an input column named like an added one is replaced).
@@ -102,9 +105,10 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", h
     Null, empty or blank text: no words, so base_failed and not kept.  Null host: a host of its own.  Null or repeated ids: each row is
     judged; equal rows (id, host, text) get equal results.  An empty table gives an empty result.  A text of any length is read whole.
     """
-    docs = docs.drop(*(c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "__row") if c in docs.columns))
-    keyed = docs.withColumn("__row", F.xxhash64(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(host).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0")))))
-    lines = document_lines(keyed, text, host)
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+    row = free_name("__row", docs)
+    keyed = docs.withColumn(row, F.xxhash64(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), F.coalesce(F.col(host).cast("string"), F.lit("\0")), F.coalesce(F.col(text), F.lit("\0")))))
+    lines = document_lines(keyed, row, text, host)
     own = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own")).distinct()
     hosts = own.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     frequent = materialised(frequent_lines(lines, hosts, least, share))
@@ -112,14 +116,14 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", h
     base = base_rules(keyed, text)
     if n:
         known = F.broadcast(frequent) if n <= MOST_BROADCAST else frequent
-        hits = lines.join(known, "line", "left_semi").groupBy("__row", "place").agg(F.max("words").alias("words"))
-        lost = hits.groupBy("__row").agg(F.sum("words").cast("long").alias("removed_words"))
-        base = base.join(lost, "__row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+        hits = lines.join(known, "line", "left_semi").groupBy("row", "place").agg(F.max("words").alias("words"))
+        lost = hits.groupBy(F.col("row").alias(row)).agg(F.sum("words").cast("long").alias("removed_words"))
+        base = base.join(lost, row, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     else:
         base = base.withColumn("removed_words", F.lit(0).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < min_words) | (left < keep_share * F.col("n_words")))
-    return base.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__row")
+    return base.withColumn("kept", ~F.col("base_failed") & ~depleted).drop(row)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
