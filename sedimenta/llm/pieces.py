@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding that keeps offsets.
 
 A text is normalised by the longest prefixes that the model's compiled character map knows; for each normalised byte the place of its
-source is recorded.  The pieces of the encoding cover the normalised bytes one after the other, and so project to spans of the
-original text's bytes.
+source is recorded.  The library's model then cuts the normalised text, with its own normalisation switched off, so that the ids are
+those of this normalisation.  The pieces cover the normalised bytes one after the other, which is held against those bytes, and so
+project to spans of the original text's bytes.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ class CharacterMap:
             i += n
         return bytes(out), np.array(source, np.int64)
 
-    def normalise(self, text: bytes) -> tuple[int, np.ndarray]:
-        """Length of the normalised text, and the source of each of its bytes, closed by the end of the text."""
+    def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        """The normalised text, and the source of each of its bytes, closed by the end of the text."""
         n = len(text)
         mapped, source = self.mapped(text)
         b = np.frombuffer(mapped, np.uint8)
@@ -79,12 +80,13 @@ class CharacterMap:
             keep[last[-1] + 1 if len(last) else 0 :] = False
             b, source, blank = b[keep], source[keep], blank[keep]
         if not len(b):
-            return 0, np.array([n], np.int64)
+            return b"", np.array([n], np.int64)
         wide = len(self.space)
         source = np.repeat(source, np.where(blank, wide, 1)) if wide > 1 else source
+        out = b.tobytes().replace(b" ", self.space)
         if self.dummy_prefix:
-            source = np.r_[np.full(wide, source[0]), source]
-        return len(source), np.r_[source, n]
+            source, out = np.r_[np.full(wide, source[0]), source], self.space + out
+        return out, np.r_[source, n]
 
 
 class Pieces:
@@ -94,29 +96,37 @@ class Pieces:
 
         with open(path, "rb") as f:
             model = f.read()
+        #: The model as it is, for decoding.
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         self.map = CharacterMap(proto.normalizer_spec)
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
-        sizes = [1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else -1 if p.type == kinds.UNKNOWN else len(p.piece.encode()) for p in proto.pieces]
-        self.sizes = np.array(sizes, np.int64)
-
-    def ids(self, text: bytes) -> list[int]:
-        """With begin and end ids, without sampling."""
-        return self.processor.encode(text.decode(), add_bos=True, add_eos=True)
-
-    def spans(self, text: bytes, ids: np.ndarray) -> np.ndarray:
-        """Begin and end in the original bytes of each id; begin and end ids get empty spans."""
-        total, source = self.map.normalise(text)
-        sizes = self.sizes[ids]
-        if (sizes < 0).any():  # an unknown piece is as long as its own text
-            known = self.processor.encode(text.decode(), out_type="immutable_proto", add_bos=True, add_eos=True).pieces
-            sizes = np.array([len(p.piece.encode()) if n < 0 else n for p, n in zip(known, sizes, strict=True)])
+        surface = lambda p: bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else p.piece.encode()
+        self.bytes = [surface(p) for p in proto.pieces]
+        self.sizes = np.array([-1 if p.type == kinds.UNKNOWN else len(x) for p, x in zip(proto.pieces, self.bytes, strict=True)], np.int64)
+        spec = proto.normalizer_spec
+        spec.name, spec.precompiled_charsmap = "identity", b""
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        #: The same pieces, for texts that are normalised already.
+        self.cutter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids (with begin and end, without sampling), begin and end in the original bytes of each (empty for begin and end ids), and
+        the ids as a list."""
+        normal, source = self.map.normalise(text)
+        ids = self.cutter.encode(normal.decode(), add_bos=True, add_eos=True)
+        array = np.array(ids, "<u4")
+        sizes = self.sizes[array]
+        if (sizes < 0).any():  # an unknown piece is its own text
+            held = [p.piece.encode() if n < 0 else self.bytes[i] for p, n, i in zip(self.cutter.encode(normal.decode(), out_type="immutable_proto", add_bos=True, add_eos=True).pieces, sizes, ids, strict=True)]
+            sizes = np.array([len(x) for x in held], np.int64)
+        else:
+            held = map(self.bytes.__getitem__, ids)
+        if b"".join(held) != normal:
+            raise ValueError("the pieces are not the normalised text")
         ends = np.cumsum(sizes)
-        if total != (ends[-1] if len(ends) else 0):
-            raise ValueError(f"pieces cover {ends[-1] if len(ends) else 0} of {total} normalised bytes")
-        return np.stack([source[ends - sizes], source[ends]], 1)
+        return array, np.stack([source[ends - sizes], source[ends]], 1), ids
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -132,7 +142,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with ids (binary, little-endian uint32), spans (binary, little-endian uint32 begin and end of each id in the text's
     UTF-8 bytes) and decoded (string).
 
-    Ids are exactly those of the library, with begin and end ids.  Null text: as an empty one, begin and end alone.  Other columns pass
+    Ids are exactly those of the library, with begin and end ids; a text whose pieces aren't its normalised bytes fails.  Null text: as an empty one, begin and end alone.  Other columns pass
     through; those named ids, spans or decoded are replaced.  Each row is on its own, so repeated rows and empty tables need no care;
     a text of any length is encoded whole.
     """
@@ -146,9 +156,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             first, size, out = 0, 0, ([], [], [])
             for i, value in enumerate(column):
                 raw = value.as_py() or b""
-                ids = pieces.ids(raw)
-                array = np.array(ids, "<u4")
-                for to, x in zip(out, (array.tobytes(), pieces.spans(raw, array).astype("<u4").tobytes(), pieces.processor.decode(ids)), strict=True):
+                array, spans, ids = pieces.encode(raw)
+                for to, x in zip(out, (array.tobytes(), spans.astype("<u4").tobytes(), pieces.processor.decode(ids)), strict=True):
                     to.append(x)
                 size += len(raw) + 100
                 if size >= BATCH:
@@ -169,4 +178,4 @@ def op9_pieces(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.expr("length(spans) div 8").alias("n_spans"))
+    return out.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
