@@ -3,6 +3,11 @@
 A vector of unit length is the sum of one full-dimensional code word from each of several codebooks.  Codebooks are fitted on residuals
 and then refined together by least squares; encoding is a beam search; a query scores codes by adding up table entries and dividing
 by the stored norm of the decoded vector; the best of each part are then scored exactly on the original vectors.
+
+Rows are dealt into cells round centres, and a query visits the cells whose centres are nearest.  How many it visits is measured on the
+sample: as many as hold FOUND of its true neighbours.  Vectors in clusters need few cells, vectors without any structure nearly all.
+A cell with many rows is split into parts and one with many visits into blocks of queries, by hashes, so no task gets more than about
+PART rows and QUERY_BLOCK queries.  Vectors travel with their codes, once for each block of queries.
 """
 
 from __future__ import annotations
@@ -14,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialised, release
+
 #: Codebooks, words of each, beam of the encoding, vectors scored exactly for each query and part.
-BOOKS, WORDS, BEAM, RERANK = 16, 256, 4, 640
-#: Vectors that the codebooks are fitted on, about, and numbers in them at most.
+BOOKS, WORDS, BEAM, RERANK = 16, 256, 4, 128
+#: Vectors that codebooks and centres are fitted on, about, and numbers in them at most.
 SAMPLE, SAMPLE_NUMBERS = 6_000, 4_000_000
+#: Cells at most, and the share of true neighbours in the sample that the visited cells shall hold.
+MOST_CELLS, FOUND = 1_024, 0.99
 PART, QUERY_BLOCK = 16_384, 4_096
 
 
@@ -110,25 +119,57 @@ class Codebooks:
         return np.einsum("qd,mkd->qmk", queries.astype(np.float32), self.words, optimize=True)
 
 
+class Cells:
+    def __init__(self, centres: np.ndarray, visited: int):
+        self.centres, self.visited = centres, visited
+
+    @classmethod
+    def fit(cls, x: np.ndarray, cells: int, k: int, rounds: int = 8, seed: int = 11) -> Cells:
+        """Centres by k-means on unit vectors; the number of cells to visit by the true neighbours of some of them."""
+        rng, x = np.random.default_rng(seed), x.astype(np.float32)
+        cells = max(1, min(cells, len(x) // 4))
+        centres = x[rng.choice(len(x), cells, replace=False)]
+        for _ in range(rounds):
+            own = np.argmax(x @ centres.T, 1)
+            total = np.zeros_like(centres)
+            np.add.at(total, own, x)
+            size = np.sqrt((total * total).sum(1, keepdims=True))
+            centres = np.where(size > 1e-6, total / np.maximum(size, 1e-6), centres)
+        own = np.argmax(x @ centres.T, 1)
+        asked = rng.choice(len(x), min(500, len(x)), replace=False)
+        near = x[asked] @ x.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        k = min(k, len(x) - 1)
+        if not k:
+            return cls(centres, cells)
+        best = np.argpartition(-near, k - 1, 1)[:, :k]
+        rank = np.argsort(np.argsort(-(x[asked] @ centres.T), 1, kind="stable"), 1)
+        needed = np.take_along_axis(rank, own[best], 1)
+        return cls(centres, min(cells, 1 + int(np.quantile(needed, FOUND, method="higher"))))
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return np.argsort(-(x.astype(np.float32) @ self.centres.T), 1, kind="stable")
+
+
 def found_in_part(books: Codebooks, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, k: int, rerank: int):
     """query id, vec id, score of the k nearest in a part whose rows are in the order of ids."""
-    scale = 1 / np.maximum(norms, 1e-9)
+    # equal vectors get one code, so that they score alike to the last bit and the smaller ids go first
+    rows = np.ascontiguousarray(vectors)
+    _, first, same = np.unique(rows.view([("", f"V{rows.dtype.itemsize * rows.shape[1]}")]).ravel(), return_index=True, return_inverse=True)
+    codes, scale = codes[first], 1 / np.maximum(norms[first], 1e-9)
     columns = [np.ascontiguousarray(codes[:, m]) for m in range(codes.shape[1])]
-    for a in range(0, len(queries), 256):
-        tables = books.tables(unit(queries[a : a + 256]))
-        for q, query_id, table in zip(queries[a : a + 256], query_ids[a : a + 256], tables, strict=True):
-            others = ids != query_id
-            if len(ids) <= rerank:
-                near = np.flatnonzero(others)
-            else:
-                score = table[0][columns[0]]
-                for m in range(1, len(columns)):
-                    score = score + table[m][columns[m]]
-                score = np.where(others, score * scale, -np.inf)
-                limit = np.partition(score, len(score) - rerank)[len(score) - rerank]
-                near = np.flatnonzero(score > limit)
-                # equal scores, as of copies, go in by id
-                near = np.concatenate([near, np.flatnonzero((score == limit) & others)[: rerank - len(near)]])
+    rerank = min(rerank, len(ids))
+    for a in range(0, len(queries), 64):
+        tables = books.tables(unit(queries[a : a + 64]))
+        score = tables[:, 0][:, columns[0]]
+        for m in range(1, len(columns)):
+            score += tables[:, m][:, columns[m]]
+        score = (score * scale)[:, same]
+        score[query_ids[a : a + 64, None] == ids] = -np.inf
+        limits = np.partition(score, len(ids) - rerank, 1)[:, len(ids) - rerank]
+        for q, query_id, own, limit in zip(queries[a : a + 64], query_ids[a : a + 64], score, limits, strict=True):
+            near = np.flatnonzero(own > limit)
+            near = np.concatenate([near, np.flatnonzero((own == limit) & (ids != query_id))[: rerank - len(near)]])
             if not len(near):
                 continue
             exact = cosines(q, vectors[near])
@@ -136,63 +177,70 @@ def found_in_part(books: Codebooks, queries: np.ndarray, query_ids: np.ndarray,
             yield int(query_id), ids[near][best], exact[best]
 
 
+ENCODED = "id long, v array<{kind}>, q boolean, cell int, codes binary, norm float, visits array<int>"
+
+
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, rerank: int = RERANK, books: int = BOOKS, words: int = WORDS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest other rows by cosine, ties to the smaller id.
 
     Vectors that are null or zero, hold a null or non-finite component, or are not of the table's most common length take no part; nor
-    do rows with a null id.  Rows with the query's own id are not its neighbours; a query id that is repeated is asked once, with the
-    smallest of its vectors.  Repeated other rows each count.  Fewer candidates than k: all of them.  An empty table gives no rows.
-    Codebooks are fitted on about SAMPLE rows, picked by a hash of the id; every row is encoded and searched.  ``rerank`` rows of each
-    part of about PART rows are scored exactly.
+    do rows with a null id.  Ids are whole numbers.  Rows with the query's own id are not its neighbours; a query id that is repeated is
+    asked once, with the smallest of its vectors.  Repeated other rows each count.  Fewer candidates than k in the cells that a query
+    visits: those.  An empty table gives no rows.
+    Codebooks and centres are fitted on about SAMPLE rows, picked by a hash of the id; every row is encoded and lies in a cell.
+    ``rerank`` rows of each part are scored exactly, whatever the part's size.
     """
-    schema = "query_id long, vec_id long, score double"
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    kind = "double" if "double" in vectors.schema[vector].dataType.simpleString() else "float"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries")).orderBy(F.desc("n"), "dim").first()
     if sizes is None or not sizes["queries"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, asked = int(sizes["dim"]), int(sizes["n"]), int(sizes["queries"])
+    dim, n = int(sizes["dim"]), int(sizes["n"])
     rows = rows.filter(F.size("v") == dim)
     share = min(1.0, SAMPLE / n, SAMPLE_NUMBERS / dim / n)
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 32)) < share * (1 << 32)).select("v").toArrow()
     if not sample.num_rows:
         sample = rows.select("v").limit(1).toArrow()
-    shared = spark.sparkContext.broadcast(Codebooks.fit(unit(matrix(sample.column(0), dim)), books, words))
-    parts, blocks = math.ceil(n / PART), math.ceil(asked / QUERY_BLOCK)
-
-    def encoded(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        x = matrix(table.column("v"), dim)
-        codes, norms = shared.value.encode(unit(x))
-        return pa.table({"part": table.column("part").slice(0, 1), "ids": [table.column("id").to_numpy().tobytes()], "x": [x.tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()], "kind": [x.dtype.str]}, schema=pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary()), ("kind", pa.string())]))
-
-    def blocked(table: pa.Table) -> pa.Table:
-        x = matrix(table.column("v"), dim)
-        return pa.table({"block": table.column("block").slice(0, 1), "ids": [table.column("id").to_numpy().tobytes()], "x": [x.tobytes()], "kind": [x.dtype.str]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("kind", pa.string())]))
-
-    data = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", "v").groupBy("part").applyInArrow(encoded, "part long, ids binary, x binary, codes binary, norms binary, kind string")
-    queries = rows.filter("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    queries = queries.groupBy("block").applyInArrow(blocked, "block long, ids binary, x binary, kind string")
-    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
+    learned = np.unique(unit(matrix(sample.column(0), dim)), axis=0)  # copies teach nothing
+    shared = spark.sparkContext.broadcast((Codebooks.fit(learned, books, words), Cells.fit(learned, min(MOST_CELLS, round(math.sqrt(n) / 4)), k)))
+
+    def encoded(batches):
+        codebooks, cells = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                x = unit(matrix(part.column(1), dim))
+                codes, norms = codebooks.encode(x)
+                near = cells.nearest(x)
+                visits = [v.tolist() if q else None for q, v in zip(part.column(2).to_pylist(), near[:, : cells.visited], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near[:, 0], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(visits, pa.list_(pa.int32()))], names=["id", "v", "q", "cell", "codes", "norm", "visits"])
+        release()
+
+    table = materialised(rows.mapInArrow(encoded, ENCODED.format(kind=kind)))
+    asked = table.filter("q").groupBy("id").agg(F.min(F.struct("v", "visits")).alias("x")).select(F.col("id").alias("query"), F.col("x.v").alias("at"), F.explode("x.visits").alias("cell"))
+    held = table.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    visited = table.filter("q").select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
+    split = F.broadcast(held.join(visited, "cell"))  # a row for each cell, MOST_CELLS at most
+    upto = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    key = ["cell", "part", "block"]
+    data = table.join(split, "cell").select("cell", F.pmod(F.xxhash64("id", "v"), F.col("parts")).alias("part"), upto("blocks").alias("block"), "id", "v", "codes", "norm")
+    queries = asked.join(split, "cell").select("cell", upto("parts").alias("part"), F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), "query", "at")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        get = lambda t, c, kind: np.frombuffer(t.column(c)[0].as_py(), kind)
         if left.num_rows and right.num_rows:
-            ids = get(left, "ids", np.int64)
-            x = get(left, "x", left.column("kind")[0].as_py()).reshape(len(ids), dim)
-            query_ids = get(right, "ids", np.int64)
-            q = get(right, "x", right.column("kind")[0].as_py()).reshape(len(query_ids), dim)
-            codes = get(left, "codes", np.uint8).reshape(len(ids), -1)
-            for query, near, score in found_in_part(shared.value, q, query_ids, x, ids, codes, get(left, "norms", np.float32), k, rerank):
+            left = left.sort_by("id")
+            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            for query, near, score in found_in_part(shared.value[0], matrix(right.column("at"), dim), right.column("query").to_numpy(), matrix(left.column("v"), dim), left.column("id").to_numpy(), codes, left.column("norm").to_numpy(), k, rerank):
                 out[0].append(np.full(len(near), query))
                 out[1].append(near)
                 out[2].append(score)
+        release()
         cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = data.groupBy("part", "block").cogroup(queries.groupBy("part", "block")).applyInArrow(scored, schema)
+    found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(scored, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
 
