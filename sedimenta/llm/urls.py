@@ -1,7 +1,8 @@
 """URL filter: a blocked Bloom filter passes possible hits to an exact hash join.
 
 The filter of the listed canonical URLs is itself a table: a row for each block of eight 64-bit words, in which a URL sets one bit in
-each word.  Probing is a hash join on the block's number, and only rows whose eight bits are set go on to the exact join.
+each word.  It grows with the list.  Probing is a hash join on the block's number, by a broadcast while the filter is small and by a
+shuffle beyond that; only rows whose eight bits are set go on to the exact join.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, materialised
+
 LANES = 8
-#: Blocks at most: with 64 bytes each the filter has 4 MB at most, whatever the list's length.  A longer list makes more false hits,
-#: which the exact join removes.
-MOST_BLOCKS = 1 << 16
+#: Blocks of 64 bytes that are broadcast at most (4 MB), and listed URLs among the hits.
+MOST_BLOCKS, MOST_LISTED = 1 << 16, 100_000
 URLS_PER_BLOCK = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that don't change a page.
@@ -51,7 +53,7 @@ def bloom_filter(listed: DataFrame, url: str = "url") -> tuple[DataFrame, int]:
     """block and word0..word7 of the listed canonical URLs, and the number of blocks; a row for each block that isn't empty."""
     n = listed.count()
     blocks = 1
-    while blocks < MOST_BLOCKS and blocks * URLS_PER_BLOCK < n:
+    while blocks * URLS_PER_BLOCK < n:
         blocks *= 2
     keyed = listed.select(F.pmod(F.xxhash64(url), F.lit(blocks)).alias("block"), F.xxhash64(url, F.lit(1)).alias("key"))
     words = [F.bit_or(b).alias(f"word{i}") for i, b in enumerate(bits(F.col("key")))]
@@ -68,34 +70,45 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return expr if expr is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def with_known(rows: DataFrame, ones: DataFrame, key: Column, own: str, small: bool) -> DataFrame:
+    """rows, each with the row of ``ones`` whose column ``own`` is its key, if any.  Rows with a null key, which may be nearly all, have
+    no part in a shuffle."""
+    if small:
+        return rows.join(F.broadcast(ones), key == F.col(own), "left")
+    return rows.filter(key.isNotNull()).join(ones, key == F.col(own), "left").unionByName(rows.filter(key.isNull()), allowMissingColumns=True)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", listed_url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict ("allow" or "block").
 
     A rule decides where one fits, the longest first; else a URL is blocked if its canonical form is that of a listed URL.
     Null URL or one without ``://``: empty host and path, no rule, allowed.  Null listed URLs are ignored; repeated ones count once.
-    Empty tables give what their rows give.  Other columns of pages pass through; those named like an added one are replaced.
+    Empty tables give what their rows give.  Other columns of pages pass through, whatever their names; those named like an added one
+    are replaced.  Rules become one expression of the plan, so there are 1000 at most; a longer list of rules raises.
     """
     if len(rules) > 1000:
         raise ValueError("1000 rules at most: they are compiled into the plan")
-    names = listed.select(canonical(F.col(listed_url)).alias("__url")).filter("__url is not null").distinct()
-    words, blocks = bloom_filter(names, "__url")
-    pages = pages.drop(*(c for c in ("host", "path", "rule", "verdict") if c in pages.columns))
+    names = materialised(listed.select(canonical(F.col(listed_url)).alias("name")).filter("name is not null").distinct())
+    words, blocks = bloom_filter(names, "name")
+    pages = pages.drop("host", "path", "rule", "verdict")
+    own, of, bits_of, hit = (free_name(c, pages) for c in ("__own", "__block", "__words", "__hit"))
     rows = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    rows = rows.withColumn("__rule", matching_rule(F.col("host"), F.col("path"), rules))
-    name = F.when(F.col("__rule").isNull() & (F.col("host") != ""), canonical(F.col(url)))
-    rows = rows.withColumn("__url", name).withColumn("__block", F.pmod(F.xxhash64("__url"), F.lit(blocks))).withColumn("__key", F.xxhash64("__url", F.lit(1)))
-    probed = rows.join(F.broadcast(words.select(F.col("block").alias("__block"), *[F.col(f"word{i}").alias(f"__word{i}") for i in range(LANES)])), "__block", "left")
-    set_all = None
-    for i, b in enumerate(bits(F.col("__key"))):
-        one = F.col(f"__word{i}").bitwiseAND(b) != 0
-        set_all = one if set_all is None else set_all & one
-    possible = probed.withColumn("__may", F.when(F.col("__url").isNotNull() & set_all, F.col("__url")))
+    said = matching_rule(F.col("host"), F.col("path"), rules)
+    name = F.when(said.isNull() & (F.col("host") != ""), canonical(F.col(url)))
+    rows = rows.withColumn(own, F.struct(said.alias("said"), name.alias("name")))
+    name = F.col(f"{own}.name")
+    block = F.when(name.isNotNull(), F.pmod(F.xxhash64(name), F.lit(blocks)))
+    held = words.select(F.col("block").alias(of), F.struct(*[F.col(f"word{i}") for i in range(LANES)]).alias(bits_of))
+    probed = with_known(rows, held, block, of, blocks <= MOST_BLOCKS)
+    set_all = F.lit(True)
+    for i, b in enumerate(bits(F.xxhash64(name, F.lit(1)))):
+        set_all = set_all & (F.col(f"{bits_of}.word{i}").bitwiseAND(b) != 0)
+    may = F.when(set_all, name)
     # the hits that the filter lets through, once each, meet the list; the answer goes back to the rows
-    hits = possible.filter("__may is not null").select(F.col("__may").alias("__hit")).distinct()
-    exact = hits.join(names, hits["__hit"] == names["__url"], "left_semi")
-    out = possible.join(exact, possible["__may"] == exact["__hit"], "left")
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__hit").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
+    exact = materialised(probed.select(may.alias(hit)).filter(F.col(hit).isNotNull()).distinct().join(names.withColumnRenamed("name", hit), hit, "left_semi"))
+    out = with_known(probed, exact, may, hit, exact.count() <= MOST_LISTED)
+    verdict = F.coalesce(F.col(f"{own}.said.verdict"), F.when(F.col(hit).isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], "host", "path", F.col(f"{own}.said.rule").alias("rule"), verdict.alias("verdict"))
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
