@@ -20,8 +20,8 @@ from .common import release
 
 ORDER = 3
 START = b"\0" * ORDER
-#: Labelled text to learn from: bytes for each language, about (a hash of the id picks the documents), and languages at most.
-SAMPLE_BYTES, MOST_LANGUAGES = 1_500_000, 256
+#: Labelled text to learn from: bytes for each language, about (a hash of the id picks the documents), and for all languages together.
+SAMPLE_BYTES, ALL_BYTES = 1_500_000, 96_000_000
 BLOCK = 2 << 20
 PAIRS = 4096
 #: Strings of four bytes whose costs a worker remembers at most; a full memory is emptied.
@@ -170,17 +170,18 @@ class Trees:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, sample_bytes: int) -> Trees | None:
-    """Trees from a bounded sample of the labelled rows where ``learn`` holds; None without any."""
-    labelled = docs.filter(learn & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h"))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    """Trees from a bounded sample of the labelled rows where ``learn`` holds; None without any.  Only a number for each language, the
+    trees of that sample, comes to the driver."""
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text).cast("string")), F.lit("sample"))
+    labelled = docs.filter(learn & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(key, F.lit(1 << 32)).alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("h").alias("first")).collect()
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_bytes / r["bytes"]))).otherwise(share)
-    picked = labelled.filter(F.pmod("h", F.lit(1 << 32)) < share * F.lit(SCALE)).select("lang", "text")
+    most = min(sample_bytes, ALL_BYTES // len(sizes))
+    # the document with the smallest hash always counts, so no language is without one
+    limits = {r["lang"]: max(r["first"] + 1, int(min(1.0, most / r["bytes"]) * SCALE)) for r in sizes}
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
+    picked = labelled.filter(F.col("h") < limit).select("lang", "text")
     rows = picked.mapInArrow(count_grams, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {key: (own["gram"].to_numpy(), own["n"].to_numpy()) for key, own in rows.groupby(["lang", "size"])}
     return Trees(counts) if counts else None
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
     """docs with lang_pred and score.
 
     learn: which rows may be learned from, if they have a language and a text; of each language about ``sample_bytes`` bytes of whole
-    documents are used.  lang_pred: the language with the shortest code, the first by name among equals; ``und`` for a null text, a
+    documents are used, one document at least (less of each, if there are so many languages that they would be over ALL_BYTES).  lang_pred: the language with the shortest code, the first by name among equals; ``und`` for a null text, a
     text without a letter, or if nothing could be learned.  score: the language's share of 2**-length over all languages, 0 for
     ``und``.  Whole texts are scored.  Null ids are fine; repeated rows get equal results; other columns pass through and those named
     lang_pred or score are replaced; an empty table gives an empty result.

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, text_bytes
 
-#: Documents of a packing group, about.
-GROUP = 50_000
+#: Pieces of a packing group at most, about.
+GROUP = 100_000
 #: Words of a generation; two are remembered.
 CACHE_WORDS = 250_000
 PIECES = "{id} {type}, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -166,10 +166,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_c
 
     Returns a row for each piece: id_col, piece, start, length, ids_crc32, ids (null unless with_ids), sequence_id, offset.
     Only a document longer than the capacity is cut, into whole sequences and a rest.  Null or empty text: its end id alone.  Rows with
-    null or equal ids are documents of their own.  Other columns are ignored.  An empty table gives an empty result.
+    null or equal ids are documents of their own.  Other columns are ignored.  An empty table gives an empty result.  Pieces of equal
+    length are taken in the order of id, piece and crc32; equal rows are alike, so it doesn't matter which is which.
+    Groups have about ``group`` pieces at most: a token has a byte at least, so rows and bytes bound the number of pieces.
     """
-    n = docs.count()
-    groups = max(1, math.ceil(n / group))
+    n, size = text_bytes(docs, text)
+    groups = max(1, math.ceil((n + size / capacity) / group))
     rows = pieces(docs, path, id_col, text, capacity, end_id, with_ids)
     spread = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "piece", "ids_crc32", "length")
     rows = rows.withColumn("__grp", F.pmod(spread, F.lit(groups)))
