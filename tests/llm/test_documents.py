@@ -19,7 +19,7 @@ from sedimenta.llm.pieces import CharacterMap, encode, model
 from sedimenta.llm.quality import quality_rules
 from sedimenta.llm.substrings import drop_repeats
 
-from .cases import documents, empty, prose, table, with_clashes
+from .cases import documents, edited, empty, prose, table, with_clashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ROWS = documents()
@@ -74,15 +74,26 @@ def test_one_of_each_group_stays(spark):
     got = kept.select("doc_id", "text").collect()
     with_words = [r for r in got if shingle_set(r[1])]
     assert len(with_words) == len({root for root, s in zip(roots, sets, strict=True) if s})
-    assert {r[1] for r in got if not shingle_set(r[1])} == {r[1] for r in ROWS if not shingle_set(r[1])}
+    assert multiset(r for r in got if not shingle_set(r[1])) == multiset((r[0], r[1]) for r in ROWS if not shingle_set(r[1]))
 
 
-def test_similarity_join_on_a_dense_group(spark):
-    """Copies at all distances, where links through others matter."""
-    from .cases import edited, prose
+@pytest.mark.parametrize("more", [[], [(9, "two words", "en", "a", 0)] * 2])
+def test_repeated_rows_without_words_stay(spark, more):
+    rows = [(1, " ", "en", "a", 0), (1, " ", "en", "b", 0), (2, None, "en", "a", 0), (9, "two words", "en", "a", 0), *more]
+    out = keep_one(table(spark, rows).withColumn("__row", F.lit("mine")))
+    assert multiset((r["doc_id"], r["text"], r["__row"]) for r in out.collect()) == multiset([(1, " ", "mine")] * 2 + [(2, None, "mine"), (9, "two words", "mine")])
+
+
+def test_rows_of_equal_id_and_text_leave_the_same_one(spark):
+    rows = [(9, "two words", lang, "a", n) for n, lang in enumerate(["en", "de", "fr"] * 5)]
+    found = {tuple(map(tuple, keep_one(table(spark, order)).collect())) for order in (rows, rows[::-1])}
+    assert len(found) == 1 and len(found.pop()) == 1
+
 
-    base = prose(50, 150)
-    rows = [(i, edited(base, 100 + i, i % 14), "en", "a", 0) for i in range(160)]
+DENSE = [(i, edited(prose(50, 150), 100 + i, i % 14), "en", "a", 0) for i in range(160)] + [(500 + i, prose(50, 150), "en", "a", 0) for i in range(60)]
+
+
+def check_components(spark, rows):
     _, roots = classes(rows)
     want = {}
     for r, root in zip(rows, roots, strict=True):
@@ -91,6 +102,22 @@ def test_similarity_join_on_a_dense_group(spark):
     assert got == {r[0]: want[root] for r, root in zip(rows, roots, strict=True)}
 
 
+def test_similarity_join_on_a_dense_group(spark):
+    """Copies at all distances, where links through others matter, and one large group of exact copies."""
+    check_components(spark, DENSE)
+
+
+def test_similarity_join_when_lists_pivots_and_joins_are_split(spark, monkeypatch):
+    from sedimenta.llm import common, components, jaccard
+
+    monkeypatch.setattr(jaccard, "LONG", 12)
+    monkeypatch.setattr(jaccard, "MOST_PAIRS", 5)
+    monkeypatch.setattr(common, "MOST_HOT", 20)
+    for module in (common, components, jaccard):
+        monkeypatch.setattr(module, "MOST_BROADCAST", 0)
+    check_components(spark, DENSE + [(1000 + i, prose(900 + i, 30 + i) + " " + prose(51, 25), "en", "a", 0) for i in range(30)])
+
+
 def test_substrings(spark):
     windows = Counter()
     words = [WORD.findall(r[1] or "") for r in ROWS]
@@ -151,39 +178,95 @@ def test_quality_share_is_of_distinct_documents(spark):
     assert out == {**{i: 18 for i in range(20)}, **{100 + i: 0 for i in range(100)}}
 
 
-def test_language_model(spark):
-    docs = [(r[0], WORD.findall(lower(r[1])) + [0]) for r in ROWS]
-    held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs]
-    one, two, begins = Counter(), Counter(), 0
-    for (_, w), out in zip(docs, held, strict=True):
+def judged(rows, least, share):
+    """removed_words and kept of each row, by counting distinct texts."""
+    plain = lambda x: " ".join(WORD.findall(re.sub("[0-9]+", "0", x.lower())))
+    lines = [[plain(x) for x in (r[1] or "").split("\n") if plain(x)] for r in rows]
+    holders, texts_of = defaultdict(set), defaultdict(set)
+    for r, own in zip(rows, lines, strict=True):
+        texts_of[r[3]].add(r[1] or "")
+        for x in own:
+            holders[r[3], x].add(r[1] or "")
+    out = []
+    for r, own in zip(rows, lines, strict=True):
+        gone = sum(len(x.split(" ")) for x in own if len(holders[r[3], x]) > max(least, share * len(texts_of[r[3]])))
+        n, *_, failed = base_rules(r[1])
+        out.append((r[0], gone, not failed and not (gone and (n - gone < 20 or n - gone < 0.3 * n))))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"least": 3, "share": 0.1}])
+def test_quality_verdicts(spark, limits):
+    from sedimenta.llm.quality import LEAST, SHARE
+
+    lines = ["# menu", "accept 12 cookies and read our terms", "zzz all rights reserved by the owners of these pages since 1999", "one two three"]
+    rows = [(i, "\n".join([*lines[: i % 5], prose(3000 + i, 5 + i % 60), *lines[i % 4 :]]), "en", ["a", "b", None][i * i % 3], 0) for i in range(150)]
+    rows += [(1000 + i, rows[i % 7][1], "en", "a", 0) for i in range(90)] + ROWS
+    out = quality_rules(with_clashes(table(spark, rows)).withColumn("__row", F.lit("mine")).withColumn("__words", F.lit("mine")), **limits)
+    want = judged(rows, limits.get("least", LEAST), limits.get("share", SHARE))
+    assert multiset(out.select("doc_id", "removed_words", "kept").collect()) == multiset(want)
+    assert sum(gone > 0 for _, gone, _ in want) > 50 and {k for _, gone, k in want if gone} == {True, False}
+    assert out.select("__row", "__words").distinct().collect() == [("mine", "mine")]
+
+
+def model_by_hand(rows, held, mu):
+    """Scores by the definition, with the contexts as tuples; 1 is the begin, 0 the end."""
+    texts = [[1, *WORD.findall(lower(r[1])), 0] for r in rows]
+    seen, contexts = Counter(), Counter()
+    for t, out in zip(texts, held, strict=True):
         if not out:
-            one.update(w)
-            two.update(zip([1, *w[:-1]], w, strict=True))
-            begins += 1
-    total, distinct = sum(one.values()), len(one)
-    uni = lambda x: (one[x] + 0.5) / (total + 0.5 * (distinct + 1))
-
-    def full(h, x):
-        c = begins if h == 1 else one[h]
-        return (two[h, x] + MU * uni(x)) / (c + MU) if c else uni(x)
-
-    want = Counter()
-    for (d, w), out in zip(docs, held, strict=True):
-        base = sum(math.log10(uni(x)) for x in w)
-        own = sum(math.log10(full(h, x)) for h, x in zip([1, *w[:-1]], w, strict=True))
-        want[d, out, len(w), sum(one[x] > 0 for x in w), total, round(base, 6), round(own, 6)] += 1
-    got = score(with_clashes(table(spark)).drop("n_words"), fold() == 1).collect()
+            for i in range(1, len(t)):
+                for n in range(min(len(mu), i) + 1):
+                    seen[tuple(t[i - n : i + 1])] += 1
+                    contexts[tuple(t[i - n : i])] += 1
+    total, distinct = contexts[()], sum(len(k) == 1 for k in seen)
+    base = lambda x: (seen[x,] + 0.5) / (total + 0.5 * (distinct + 1))
+
+    def likely(h, x):
+        if not h:
+            return base(x)
+        c = contexts[h]
+        return (seen[*h, x] + mu[len(h) - 1] * likely(h[1:], x)) / (c + mu[len(h) - 1]) if c else likely(h[1:], x)
+
+    def line(r, t, out):
+        own = sum(math.log10(likely(tuple(t[max(0, i - len(mu)) : i]), t[i])) for i in range(1, len(t)))
+        return r[0], out, len(t) - 1, sum(seen[x,] > 0 for x in t[1:]), total, round(sum(math.log10(base(x)) for x in t[1:]), 6), round(own, 6)
+
+    return Counter(line(r, t, out) for r, t, out in zip(rows, texts, held, strict=True)), likely, seen, contexts
+
+
+@pytest.mark.parametrize("mu", [MU, (40.0,), (2.0, 1.0, 0.5)])
+def test_language_model(spark, mu):
+    rows = ROWS + [(2000 + i, "a b c a b d a b c e", "en", "a", 0) for i in range(20)] + [(2100, "d a b c zz a", "en", "a", 0)]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
+    want, likely, seen, contexts = model_by_hand(rows, held, mu)
+    got = score(with_clashes(table(spark, rows)).drop("n_words"), fold() == 1, order=len(mu) + 1, mu=mu).collect()
     assert Counter((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got) == want
     # the weights of a state add up to one, with a share for words never seen
-    for h in (1, *list(one)[:5]):
-        assert abs(sum(full(h, x) for x in one) + full(h, "never seen") - 1) < 1e-9
+    words = [k[0] for k in seen if len(k) == 1]
+    for h in ((), (1,), ("a",), ("a", "b")[-len(mu) :], ("never seen",)):
+        assert abs(sum(likely(h, x) for x in words) + likely(h, "never seen") - 1) < 1e-9
+
+
+def test_language_model_without_rows_or_training(spark):
     assert score(empty(spark), fold() == 1).count() == 0
+    out = score(table(spark), F.lit(True)).agg(F.sum("train_tokens"), F.sum("n_known"), F.max(F.abs("score"))).first()
+    assert tuple(out) == (0, 0, 0.0)
 
 
-def test_trigram_model_is_smoothed(spark):
-    rows = [(i, "a b c a b d", "en", "a", 0) for i in range(20)]
-    out = score(table(spark, rows), F.lit(False), order=3, mu=1.0).first()
-    assert out["base_score"] < out["score"] < 0
+def test_parts_of_a_text_are_read_from_the_right_state(monkeypatch):
+    from sedimenta.llm import lm
+
+    run, place = lm.token_runs([("a b c a b d b c a a b c " * 30).encode(), b"b c a", b""])
+    grams = lm.grams_of(run, place, 3)
+    numbers = [np.unique(k, return_inverse=True)[1] for _, k in grams]
+    rng = np.random.default_rng(1)
+    counts = [np.bincount(n) for n in numbers]
+    counts[2] = np.where(rng.random(len(counts[2])) < 0.4, 0, counts[2])
+    automaton = lm.Automaton(grams, numbers, counts, len(run), 400, 5, 3, lm.MU)
+    whole = automaton.walk(place)
+    monkeypatch.setattr(lm, "PART", 7)
+    assert np.allclose(whole, automaton.walk(place), rtol=1e-12)
 
 
 def test_language(spark):
@@ -202,6 +285,12 @@ def test_language(spark):
     assert {r[0] for r in identify(table(spark), F.lit(False)).select("lang_pred").collect()} == {"und"}
 
 
+def test_each_language_is_learned_however_large_its_documents(spark):
+    rows = [(i, f"{'abc' * 40} " * 50, "one", "a", 0) for i in range(3)] + [(None, "xyz uvw " * 500, "two", "a", 0)] * 3 + [(9, "xyz", None, "a", 0)]
+    out = identify(table(spark, rows), F.lit(True), sample_bytes=100)
+    assert out.filter("doc_id = 9").first()["lang_pred"] == "two" and {r[0] for r in out.select("lang_pred").collect()} == {"one", "two"}
+
+
 def test_code_lengths_match_the_definition():
     from sedimenta.llm.language import Trees, grams, prepared
 
@@ -275,10 +364,16 @@ def test_packing_composes_before_it_lowers():
         assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_repeated_long_documents_are_spread_over_groups(spark):
+    rows = [(i, prose(7000 + i % 3, 2000), "en", "a", 0) for i in range(40)]
+    out = pack(table(spark, rows), BPE, capacity=512, group=50)
+    assert out.select(F.shiftright("sequence_id", 32)).distinct().count() > 5
+
+
 def test_pieces(spark):
     m = model(PIECES)
     out = encode(with_clashes(table(spark)), PIECES).select("doc_id", "text", "ids", "spans", "decoded").collect()
-    assert len(out) == len(ROWS)
+    assert len(out) == len(ROWS) and encode(empty(spark), PIECES).count() == 0
     for r in out:
         text = r["text"] or ""
         ids = m.processor.encode(text, add_bos=True, add_eos=True)
@@ -292,9 +387,40 @@ def test_pieces(spark):
             if not m.processor.is_byte(i) and not m.processor.is_control(i):
                 held = raw[a:b].decode().replace(" ", "▁")
                 assert m.processor.id_to_piece(i) in (held, "▁" + held)
-    assert encode(empty(spark), PIECES).count() == 0
 
 
+def test_pieces_of_odd_texts_are_the_librarys():
+    import random
+
+    m, r = model(PIECES), random.Random(3)
+    parts = ["a", " ", "  ", "\n", "\t", "é", "e\u0301", "漢", "\u3000", "▁", "😀", "the", "ing", "<s>", "<unk>", "<0x41>", "\x00", "\r"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(25)))
+        assert m.encode(text.encode())[2] == m.processor.encode(text, add_bos=True, add_eos=True)
+
+
+def test_pieces_go_through_the_character_map(tmp_path):
+    """A model with a character map: ids by way of this map are the library's, and spans lie in the text before it."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    from sedimenta.llm.pieces import Pieces
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as f:
+        proto.ParseFromString(f.read())
+    rules = sentencepiece_model_pb2.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    m = Pieces(str(tmp_path / "m.model"))
+    for text in ("ﬁne ①② ｶﾞ Å", "  two   spaces ", "", " ", "Straße İ éx 　y", "plain"):
+        ids, spans, same = m.encode(text.encode())
+        assert same == m.processor.encode(text, add_bos=True, add_eos=True)
+        assert (np.diff(spans[:, 0]) >= 0).all() and spans.max() <= len(text.encode())
+    ids, spans, _ = m.encode("ﬁne".encode())
+    assert spans[1:-1, 0].min() == 0 and spans[1:-1, 1].max() == 5
 def test_character_map_is_the_librarys():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
