@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import REQUEST, answers, flags, hashed_texts, in_groups, release, replies, request_rows, request_table, text_bytes, texts, windows
+from .common import REQUEST, answers, aside, flags, hashed_texts, in_groups, release, replies, request_rows, request_table, spread, text_bytes, texts, windows
 
 SIZE, SEED = 35, 12
 KEYS_PER_BUCKET = 1_500_000
@@ -69,10 +69,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     A word goes if it lies in a window of ``size`` words of its document whose words also start anywhere else, in any document.
     All windows are judged on the input, so that every copy of a passage goes.  Null, empty or blank text: no words, empty kept_text.
     Texts shorter than ``size`` words stay.  Null or repeated ids, and repeated rows, are documents of their own and repeat each other.
-    Other columns pass through; those named like an added one are replaced, one named __grp is left out.  An empty table gives an empty
-    result.  Windows are compared by 64-bit hashes of words and their places.
+    Other columns pass through; those named like an added one are replaced.  An empty table gives an empty result.
+    Windows are compared by 64-bit hashes of words and their places.
     """
-    docs = docs.drop(*(c for c in ("kept_text", "n_words", "n_removed", "__grp") if c in docs.columns))
+    docs, restored = aside(docs.drop("kept_text", "n_words", "n_removed"), "__grp")
     total = text_bytes(docs, text)
     grouped, _ = in_groups(docs, id_col, text, total)
     schema = StructType([*docs.schema.fields, StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
@@ -84,8 +84,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
 
     def known_anchors(hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         found = [anchors(h, size, seed) for h in hashes]
-        keys, counts = np.unique(np.concatenate([p for _, p in found]), return_counts=True)
-        return [c for c, _ in found], keys, counts
+        keys, counts = np.unique(spread(np.concatenate([p for _, p in found])), return_counts=True)
+        return [spread(c) for c, _ in found], keys, counts
 
     def ask_anchors(table: pa.Table) -> pa.Table:
         _, keys, counts = known_anchors(read(table))
@@ -136,7 +136,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     first = replies(grouped.groupBy("__grp").applyInArrow(ask_anchors, REQUEST), flags, 0)
     asked = grouped.groupBy("__grp").cogroup(first.groupBy("__grp")).applyInArrow(ask_windows, REQUEST)
     both = first.unionByName(replies(asked, flags, 1))
-    return grouped.groupBy("__grp").cogroup(both.groupBy("__grp")).applyInArrow(finish, schema)
+    return restored(grouped.groupBy("__grp").cogroup(both.groupBy("__grp")).applyInArrow(finish, schema))
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
