@@ -179,6 +179,30 @@ def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame],
     return df, lambda out: out.withColumnsRenamed(back)
 
 
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def begin(owner: str, forget: Callable[[], object] | None = None) -> None:
+    """At the start of a task in Python: lets go of what other operators' tasks have kept in this worker.  forget: lets go of what the
+    owner's tasks keep for one another."""
+    for other in [o for o in _KEPT if o != owner]:
+        _KEPT.pop(other)()
+    if forget is not None:
+        _KEPT[owner] = forget
+
+
+#: Bytes of a batch that goes to a Python worker, at most.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send batches of bounded size to Python: 10,000 rows with long texts are more than a worker should hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None) or ""
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Gives memory that is free back to the machine: a Python worker lives on between tasks, beside its executor's own memory."""
     pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, REQUEST, answers, discard, free_name, flags, hashed_texts, in_groups, materialised, release, replies, request_rows, request_table, spread, text_bytes, texts, windows, with_one
+from .common import MOST_BROADCAST, REQUEST, answers, begin, discard, free_name, flags, hashed_texts, in_groups, materialised, release, replies, request_rows, request_table, small_batches, spread, text_bytes, texts, windows, with_one
 from .components import components
 
 SIZE = 5
@@ -100,6 +100,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and the rank of each by frequency."""
 
     def count(batches):
+        begin("jaccard")
         sets, size, seen = [], 0, set()
         for batch in batches:
             for s in shingle_sets(list(texts(batch.column(0)))):
@@ -438,6 +439,7 @@ def in_block_pairs(state: DataFrame, long: DataFrame | None) -> DataFrame:
 
 def grouped_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """id_col, row, rid, n_shingles, root (a number of the component; null without shingles) and least (its smallest id) of each row."""
+    small_batches(docs.sparkSession)
     sets = materialised(document_sets(docs, id_col, text))
     reps = materialised(sets.filter("n > 0").groupBy("sig").agg(F.min("rid").alias("rep"), F.min(id_col).alias("least")))
     listed = sets.filter("keys is not null").join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import release
+from .common import begin, release, small_batches
 
 ORDER = 3
 START = b"\0" * ORDER
 #: Labelled text to learn from: bytes for each language, about (a hash of the id picks the documents), and for all languages together.
 SAMPLE_BYTES, ALL_BYTES = 1_500_000, 96_000_000
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 PAIRS = 4096
 #: Strings of four bytes whose costs a worker remembers at most; a full memory is emptied.
 MEMORY = 1 << 20
@@ -197,6 +197,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
     lang_pred or score are replaced; an empty table gives an empty result.
     """
     docs = docs.drop(*(c for c in ("lang_pred", "score") if c in docs.columns))
+    small_batches(docs.sparkSession)
     trees = train(docs, learn, id_col, text, lang, sample_bytes)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     if trees is None:
@@ -206,6 +207,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str =
     def run(batches):
         import regex
 
+        begin("language")
         letter = regex.compile(r"\p{L}")
         trees = shared.value
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPLY, REQUEST, added_up, counted, hashed_texts, in_groups, release, reply_table, request_rows, request_table, texts, uncounted, windows
+from .common import REPLY, REQUEST, added_up, begin, counted, hashed_texts, in_groups, release, reply_table, request_rows, request_table, small_batches, texts, uncounted, windows
 from .language import fold
 
 #: Tokens of the longest n-grams, and how much a context of 1, 2, .. tokens trusts the shorter one.
@@ -148,6 +148,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     empty table gives an empty result; without training rows every token has weight one.  Texts of any length are read whole.
     Words are told apart by 64 bits of their hash, longer n-grams by 56.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     n_rows, n_bytes, begins = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     grouped, groups = in_groups(rows, id_col, "text", (n_rows, int(n_bytes)))
@@ -156,6 +157,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     firsts = [sum(buckets[:i]) for i in range(order)]
 
     def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        begin("lm")
         run, place = token_runs(list(texts(table.column("text"))))
         return run, place, grams_of(run, place, order)
 

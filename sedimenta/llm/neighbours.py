@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised, release
+from .common import begin, materialised, release, small_batches
 
 #: Codebooks, words of each, beam of the encoding, vectors scored exactly for each query and part.
 BOOKS, WORDS, BEAM, RERANK = 16, 256, 4, 128
@@ -191,6 +191,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     ``rerank`` rows of each part are scored exactly, whatever the part's size.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     kind = "double" if "double" in vectors.schema[vector].dataType.simpleString() else "float"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries")).orderBy(F.desc("n"), "dim").first()
@@ -206,6 +207,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     shared = spark.sparkContext.broadcast((Codebooks.fit(learned, books, words), Cells.fit(learned, min(MOST_CELLS, round(math.sqrt(n) / 4)), k)))
 
     def encoded(batches):
+        begin("neighbours")
         codebooks, cells = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):

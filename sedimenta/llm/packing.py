@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_bytes
+from .common import begin, release, small_batches, text_bytes
 
 #: Pieces of a packing group at most, about.
 GROUP = 100_000
@@ -78,6 +78,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text: str, capacity: int, en
     end, step = np.uint32(end_id).tobytes(), 4 * capacity
 
     def cut(batches):
+        begin("packing", _TOKENIZERS.clear)
         words = tokenizer(path)
         for batch in batches:
             rows: list[tuple] = []
@@ -170,6 +171,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_c
     length are taken in the order of id, piece and crc32; equal rows are alike, so it doesn't matter which is which.
     Groups have about ``group`` pieces at most: a token has a byte at least, so rows and bytes bound the number of pieces.
     """
+    small_batches(docs.sparkSession)
     n, size = text_bytes(docs, text)
     groups = max(1, math.ceil((n + size / capacity) / group))
     rows = pieces(docs, path, id_col, text, capacity, end_id, with_ids)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import release
+from .common import begin, release, small_batches
 
 SPACE = "▁".encode()
 #: Bytes of text of a result batch, about.
@@ -147,9 +147,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     a text of any length is encoded whole.
     """
     docs = docs.drop(*(c for c in ("ids", "spans", "decoded") if c in docs.columns))
+    small_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField("ids", BinaryType()), StructField("spans", BinaryType()), StructField("decoded", StringType())])
 
     def run(batches):
+        begin("pieces", _MODELS.clear)
         pieces = model(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import REQUEST, answers, aside, flags, hashed_texts, in_groups, release, replies, request_rows, request_table, spread, text_bytes, texts, windows
+from .common import REQUEST, answers, aside, begin, flags, hashed_texts, in_groups, release, replies, request_rows, request_table, small_batches, spread, text_bytes, texts, windows
 
 SIZE, SEED = 35, 12
 KEYS_PER_BUCKET = 1_500_000
@@ -73,13 +73,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     Windows are compared by 64-bit hashes of words and their places.
     """
     docs, restored = aside(docs.drop("kept_text", "n_words", "n_removed"), "__grp")
+    small_batches(docs.sparkSession)
     total = text_bytes(docs, text)
-    grouped, _ = in_groups(docs, id_col, text, total)
+    grouped, _ = in_groups(docs, id_col, text, total, 4 << 20)
     schema = StructType([*docs.schema.fields, StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     words = total[1] / 6
     few, many = (max(1, math.ceil(words * share / KEYS_PER_BUCKET)) for share in (0.1, 0.4))
 
     def read(table: pa.Table) -> list[np.ndarray]:
+        begin("substrings")
         return hashed_texts(list(texts(table.column(text))))
 
     def known_anchors(hashes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
