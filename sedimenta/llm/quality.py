@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: A line is taken away if more distinct documents of its host hold it than both this number and this share of them.
 LEAST, SHARE = 20, 0.05
-#: Frequent lines that are broadcast at most; beyond that they are joined by a shuffle.
+#: Frequent lines, and documents that lose some, that are broadcast at most; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
 
@@ -117,8 +117,9 @@ def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id", h
     if n:
         known = F.broadcast(frequent) if n <= MOST_BROADCAST else frequent
         hits = lines.join(known, "line", "left_semi").groupBy("row", "place").agg(F.max("words").alias("words"))
-        lost = hits.groupBy(F.col("row").alias(row)).agg(F.sum("words").cast("long").alias("removed_words"))
-        base = base.join(lost, row, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+        lost = materialised(hits.groupBy(F.col("row").alias(row)).agg(F.sum("words").cast("long").alias("removed_words")))
+        # texts are only dealt out if too many of them lose a line
+        base = base.join(F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost, row, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     else:
         base = base.withColumn("removed_words", F.lit(0).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
