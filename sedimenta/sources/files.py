@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import EngineError
@@ -23,7 +26,9 @@ class Files:
         return self._path(self.at(key))
 
     def write_new(self, key: str, data: bytes) -> bool:
-        """Creates a file whole, by a rename within the folder; False if it is there already.  Existing files are never changed."""
+        """Creates a file whole; False if it is there already.  Existing files are never changed: of two writers one succeeds, where the
+        file system has a rename without overwriting that is atomic (as HDFS has) or hard links (local ones).  Object stores that copy
+        on a rename have neither, so a root there needs a single writer."""
         if self._fs.exists(self.path(key)):
             return False
         self._fs.mkdirs(self.path(key).getParent())
@@ -32,9 +37,26 @@ class Files:
         out.write(data)
         out.hsync()
         out.close()
-        if self._fs.exists(self.path(key)) or not self._fs.rename(hidden, self.path(key)):
+        try:
+            return self._named(hidden, self.path(key))
+        finally:
             self._fs.delete(hidden, False)
-            return False
+
+    def _named(self, hidden, path) -> bool:
+        """Gives a finished file its name, unless another has it."""
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(hidden.toUri().getPath(), path.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(hidden, path, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
         return True
 
     def read(self, key: str, start: int = 0, length: int | None = None) -> bytes:

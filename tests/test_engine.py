@@ -269,3 +269,17 @@ def test_yaml_is_read_strictly(text):
     with pytest.raises(EngineError) as error:
         read_manifest(text)
     assert error.value.code == "CATALOG_MANIFEST_INVALID"
+
+
+def test_a_file_is_named_once(spark, tmp_path):
+    """Also for a writer that saw no file before it wrote its own."""
+    from sedimenta.sources.files import Files
+
+    files = Files(spark, str(tmp_path / "root"))
+    assert files.write_new("a/one", b"first") and not files.write_new("a/one", b"second")
+    late = files._path(f"{files.at('a')}/.late")
+    out = files._fs.create(late, False)
+    out.write(b"late")
+    out.close()
+    assert not files._named(late, files.path("a/one")) and files.read("a/one") == b"first"
+    assert files.names("a") == ["one"]
