@@ -137,8 +137,12 @@ def quoted(x: Column) -> Column:
 
 
 def from_json(x: Column, target: Logical) -> Column:
-    """x: JSON text of any kind.  Its first character tells the kind."""
-    text = F.trim(x)
+    """x: JSON text of any kind.  It is bound to a variable, as the many branches would each evaluate it anew."""
+    return F.get(F.transform(F.array(F.trim(x)), lambda text: from_json_text(text, target)), F.lit(0))
+
+
+def from_json_text(text: Column, target: Logical) -> Column:
+    """The first character tells the kind."""
     first = F.substring(text, 1, 1)
     string = F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")
     unwrapped = F.when(first == '"', from_text(string, target))

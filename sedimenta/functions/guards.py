@@ -11,7 +11,7 @@ from ..types import INTEGERS, SPARK, Logical
 
 EVALUATION, CAST = "QUERY_EVALUATION_FAILED", "QUERY_CAST_FAILED"
 ARITHMETIC = ("ARITHMETIC_OVERFLOW", "DIVIDE_BY_ZERO", "CAST_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE", "REMAINDER_BY_ZERO", "BINARY_ARITHMETIC_OVERFLOW")
-MISSING, CORRUPT = ("FAILED_READ_FILE.FILE_NOT_EXIST", "PATH_NOT_FOUND", "FileNotFoundException"), ("CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "is not a Parquet file", "PARQUET")
+MISSING, CORRUPT = ("FAILED_READ_FILE.FILE_NOT_EXIST", "PATH_NOT_FOUND", "FileNotFoundException"), ("CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "is not a Parquet file", "PARQUET", "ChecksumException", "PUBLISHED_OBJECT_CORRUPT")
 
 
 def failing(code: str, like: Column | Logical) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .lang.analysis import TimeContext, analyze
 from .lang.times import parse_instant
-from .maintenance import Targets, compact
+from .maintenance import Targets, compact, expire, reclaim, recover
 from .plans.lower import check_session, lower
 from .sources.bindings import BoundSource, bind
+from .sources.ingest import admit_files
+from .sources.store import now_ms
 
 NOW = parse_instant("2024-01-10T12:34:56.789Z")
 FIRST, LAST = parse_instant("1990-01-01T00:00:00Z"), parse_instant("2030-01-01T00:00:00Z")
@@ -93,6 +96,28 @@ QUERIES: dict[str, PipeQuery] = {
         "SELECT event_id, CASE WHEN floor(value) = value THEN value::BIGINT END AS a, CASE WHEN floor(value * 100.0) = value * 100.0 THEN (value * 100.0)::INTEGER END AS b FROM events"),
     "cast_int_to_float_all": PipeQuery(EV, "| project event_id, a = cast(user_id as float64), b = try_cast(9007199254740993 + event_id as float64)",
         "SELECT event_id, user_id::DOUBLE AS a, CASE WHEN (9007199254740993 + event_id)::DOUBLE::HUGEINT = 9007199254740993 + event_id THEN (9007199254740993 + event_id)::DOUBLE END AS b FROM events"),
+    "cast_text_to_float": PipeQuery(EV, "| project event_id, a = cast(cast(value as utf8) as float64), b = cast(cast(user_id as utf8) as float64), c = try_cast(event_type as float64)",
+        "SELECT event_id, value AS a, user_id::DOUBLE AS b, TRY_CAST(event_type AS DOUBLE) AS c FROM events"),
+    "cast_text_to_int": PipeQuery(EV, "| project event_id, a = cast(cast(user_id as utf8) as int32), b = cast(cast(user_id as utf8) as uint32), c = try_cast(cast(event_id - 5000 as utf8) as uint64), d = cast(cast(event_id - 5000 as utf8) as int64)",
+        "SELECT event_id, user_id::INTEGER AS a, user_id AS b, CASE WHEN event_id >= 5000 THEN (event_id - 5000)::DECIMAL(20,0) END AS c, event_id - 5000 AS d FROM events"),
+    "cast_text_to_datetime": PipeQuery(EV, "| project event_id, a = cast(cast(@event_time as utf8) as datetime), b = try_cast(event_type as datetime)",
+        "SELECT event_id, date_trunc('millisecond', ts) AS a, TRY_CAST(event_type AS TIMESTAMP) AS b FROM events"),
+    "cast_text_to_eid": PipeQuery(EV, "| project event_id, a = cast(cast(cast(@event_id as utf8) as eid) as utf8), b = cast(@event_id as utf8) == event_type",
+        "SELECT event_id, lower(lpad(format('{:x}', event_id), 32, '0')) AS a, lower(lpad(format('{:x}', event_id), 32, '0')) = event_type AS b FROM events"),
+    "cast_text_to_bool": PipeQuery(EV, "| project event_id, a = cast(cast(value > 50.0 as utf8) as bool), b = try_cast(event_type as bool)",
+        "SELECT event_id, value > 50.0 AS a, CASE event_type WHEN 'true' THEN true WHEN 'false' THEN false END AS b FROM events"),
+    "cast_float_to_text": PipeQuery("lineitem", "| project l_orderkey, l_linenumber, a = cast(l_extendedprice as utf8), b = cast(l_discount as utf8), c = cast(-l_quantity as utf8)",
+        "SELECT l_orderkey, l_linenumber, l_extendedprice::VARCHAR AS a, l_discount::VARCHAR AS b, (-l_quantity)::VARCHAR AS c FROM lineitem"),
+    "cast_to_json": PipeQuery(EV, "| project event_id, a = cast(event_type as json), b = cast(user_id as json), c = cast(value > 50.0 as json), d = cast(@event_time as json)",
+        "SELECT event_id, to_json(event_type)::VARCHAR AS a, user_id::VARCHAR AS b, (value > 50.0)::VARCHAR AS c, '\"' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') || '\"' AS d FROM events"),
+    "cast_json_to": PipeQuery(EV, '| project event_id, a = cast(rest("k") as float64), b = cast(rest("k") as uint32), c = cast(rest("k") as uint64), d = cast(rest("k") as int32), e = cast(rest("k") as float32), f = cast(cast(event_type as json) as utf8), g = cast(cast(value > 50.0 as json) as bool), h = try_cast(rest("k") as bool)',
+        "SELECT event_id, k::DOUBLE AS a, k AS b, k::DECIMAL(20,0) AS c, k::INTEGER AS d, k::FLOAT AS e, event_type AS f, value > 50.0 AS g, NULL::BOOLEAN AS h FROM (SELECT *, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events)"),
+    "float32_arith": PipeQuery(EV, "| project event_id, f = cast(user_id as float32) | project event_id, a = f * float32(0.5), b = f + float32(1.5), c = f / float32(4.0), d = -f, e = cast(f as float64), g = f >= float32(100.0)",
+        "SELECT event_id, f * 0.5::FLOAT AS a, f + 1.5::FLOAT AS b, (f / 4.0::FLOAT)::FLOAT AS c, -f AS d, f::DOUBLE AS e, f >= 100 AS g FROM (SELECT event_id, user_id::FLOAT AS f FROM events)"),
+    "uint_arith": PipeQuery(EV, "| project event_id, u = cast(user_id as uint32), w = cast(event_id as uint64) | project event_id, a = u + uint32(1), b = u * uint32(3), c = u / uint32(7), d = w + uint64(18446744073700000000), e = w * uint64(3), f = w / uint64(7), g = u + w, h = w >= uint64(5000)",
+        "SELECT event_id, user_id + 1 AS a, user_id * 3 AS b, user_id // 7 AS c, (event_id + 18446744073700000000::HUGEINT)::DECIMAL(20,0) AS d, (event_id * 3)::DECIMAL(20,0) AS e, (event_id // 7)::DECIMAL(20,0) AS f, (user_id + event_id)::DECIMAL(20,0) AS g, event_id >= 5000 AS h FROM events"),
+    "agg_float32": PipeQuery(EV, "| project event_type, f = cast(user_id as float32) | summarize n = count(f), lo = min(f), hi = max(f), mean = avg(f) by event_type",
+        "SELECT event_type, count(f) AS n, min(f) AS lo, max(f) AS hi, avg(f) AS mean FROM (SELECT event_type, user_id::FLOAT AS f FROM events) GROUP BY event_type"),
     "rest_value": PipeQuery(EV, '| project event_id, k = try_cast(rest("k") as int64)',
         "SELECT event_id, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
     "rest_exists": PipeQuery(EV, '| project event_id, has = rest_exists("k"), hasnt = rest_exists("absent")',
@@ -177,38 +202,57 @@ source:
 """
 #: Records of a body.
 BODY = 20_000
+#: Damaged records in place of those of ids with these remainders by 16, and why they are rejected.
+DAMAGED = {
+    1: ('{"ts":"x","event_id":', "}", "RECORD_EVENT_TIME_INVALID"),
+    2: ('{"ts":1,"event_id":"', '"}', "RECORD_CONVERSION_FAILED"),
+    3: ('{"ts":1,"user_id":', "}", "RECORD_FIELD_MISSING"),
+    4: ('{"ts":1,"event_id":null,"user_id":', "}", "RECORD_FIELD_NULL"),
+    5: ('{"ts":1,"ts":', "}", "RECORD_PARSE_FAILED"),
+    6: ("[", "]", "RECORD_PARSE_FAILED"),
+    7: ('{"ts":1.5,"event_id":', "}", "RECORD_EVENT_TIME_INVALID"),
+}
 
 
-def stored_events(spark: SparkSession, sf_dir: str, extra: str = "") -> Engine:
+def stored_events(spark: SparkSession, sf_dir: str, damaged: bool = False, old_ttl: int | None = None, times: int = 1) -> Engine:
     """A new store that holds the events table: those of odd ids came under the old schema, those of even ids under the new one.
 
-    extra: lines that follow each body."""
+    Executors write the bodies and read them again.  old_ttl: milliseconds after which those of odd ids expire.  times: how often each
+    file is offered."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    engine = Engine(spark, scratch(spark))
+    root = scratch(spark)
+    engine = Engine(spark, root)
     engine.apply_catalog(EVENTS_CATALOG)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     record = F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "user_id", "event_type", "value", F.from_json("props", "k bigint").alias("props")))
-    for name, odd in (("old", 1), ("new", 0)):
-        lines: list[str] = []
-        for r in rows.filter(F.col("event_id") % 2 == odd).select(record.alias("r")).toLocalIterator():
-            lines.append(r[0])
-            if len(lines) == BODY:
-                engine.ingest("events", name, "\n".join(lines + [extra]).encode())
-                lines = []
-        if lines:
-            engine.ingest("events", name, "\n".join(lines + [extra]).encode())
-    engine.process()
+    if damaged:
+        case = F.when(F.lit(False), F.lit(""))
+        for rest, (before, after, _) in DAMAGED.items():
+            case = case.when(F.col("event_id") % 16 == rest, F.concat(F.lit(before), F.col("event_id").cast("string"), F.lit(after)))
+        record = case.otherwise(record)
+    for name, odd, ttl in (("old", 1, old_ttl), ("new", 0, None)):
+        folder = f"{root}-landing/{name}"
+        rows.filter(F.col("event_id") % 2 == odd).select(record.alias("value")).write.option("maxRecordsPerFile", BODY).text(folder)
+        files = spark.read.format("binaryFile").load(folder)
+        for _ in range(times):
+            admit_files(engine.store, "events", name, files)
+            engine.process(ttl)
     return engine
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sedimenta-stores"
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/sedimenta-stores"
     return f"{base.rstrip('/')}/store-{uuid.uuid4()}"
 
 
-def stored_query(text: str, extra: str = "", compacted: bool = False):
+def stored_query(text: str, compacted: bool = False, **more):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = stored_events(spark, sf_dir, extra)
+        engine = stored_events(spark, sf_dir, **more)
         if compacted:
             while compact(engine.store, Targets(margin=0)):
                 pass
@@ -218,19 +262,58 @@ def stored_query(text: str, extra: str = "", compacted: bool = False):
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = '{"ts":"x","event_id":1}\n{"ts":1,"event_id":"1"}\n{"ts":1}\n{"ts":1,"event_id":null}\n{"ts":1,"ts":1}\n[]'
-    engine = stored_events(spark, sf_dir, bad)
+    engine = stored_events(spark, sf_dir, damaged=True)
     return engine.dead_letter_entries(most=2**31 - 1).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
 
 
+def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the events of odd ids have expired and their objects are gone."""
+    engine = stored_events(spark, sf_dir, old_ttl=1000)
+    later = now_ms() + 10_000_000
+    expire(engine.store, 0, later)
+    reclaim(engine.store, later)
+    return plain(engine.plan("source events | summarize n = count(), last = max(event_id), hi = max(value) by event_type", FIRST, LAST).df)
+
+
+def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a compaction that claimed all segments and then died, and one that came after the recovery."""
+    engine = stored_events(spark, sf_dir)
+    run = str(uuid.uuid4())
+
+    def claim(state: dict) -> None:
+        for s in state["segments"]:
+            s["run"] = run
+        state["runs"].append({"id": run, "inputs": [s["id"] for s in state["segments"]], "state": "RUNNING", "started_at": 0})
+
+    engine.store.change(claim)
+    assert compact(engine.store, Targets(margin=0)) is None and recover(engine.store, 1) == 1
+    while compact(engine.store, Targets(margin=0)):
+        pass
+    reclaim(engine.store, now_ms() + 10_000_000)
+    return plain(engine.plan("source events | project event_id, user_id, value, at = @event_time", FIRST, LAST).df)
+
+
+def dead_letter_sql() -> str:
+    parts = [f"SELECT '{code}' AS code, octet_length(encode('{before}' || event_id || '{after}')) AS b FROM events WHERE event_id % 16 = {rest}" for rest, (before, after, code) in DAMAGED.items()]
+    return f"SELECT code, count(*) AS n, sum(b)::BIGINT AS bytes FROM ({' UNION ALL '.join(parts)}) GROUP BY code"
+
+
 STORED = {
     "ingest_roundtrip": (stored_query("| project event_id, user_id, event_type, value, k, at = @event_time"),
         "SELECT event_id, user_id, event_type, value, TRY_CAST(props->>'$.k' AS BIGINT) AS k, date_trunc('millisecond', ts) AS at FROM events"),
+    "ingest_damaged": (stored_query("| project event_id, value", damaged=True),
+        "SELECT event_id, value FROM events WHERE event_id % 16 NOT BETWEEN 1 AND 7"),
+    "ingest_replay": (stored_query("| summarize n = count(), last = max(event_id), total = sum(event_id) by event_type", times=2),
+        "SELECT event_type, count(*) AS n, max(event_id) AS last, sum(event_id)::BIGINT AS total FROM events GROUP BY event_type"),
     "schema_adapt": (stored_query("| filter k != null | summarize n = count(), most = max(k), total = sum(k) by event_type"),
         "SELECT event_type, count(*) AS n, max(k) AS most, sum(k)::BIGINT AS total FROM (SELECT event_type, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events) WHERE k IS NOT NULL GROUP BY event_type"),
     "compaction_equiv": (stored_query("| summarize n = count(), hi = max(value), last = max(@event_time) by event_type", compacted=True),
         "SELECT event_type, count(*) AS n, max(value) AS hi, max(date_trunc('millisecond', ts)) AS last FROM events GROUP BY event_type"),
-    "dead_letters": (dead_letters, None),
+    "compaction_recovery": (recovered,
+        "SELECT event_id, user_id, value, date_trunc('millisecond', ts) AS at FROM events"),
+    "retention": (retained,
+        "SELECT event_type, count(*) AS n, max(event_id) AS last, max(value) AS hi FROM events WHERE event_id % 2 = 0 GROUP BY event_type"),
+    "dead_letters": (dead_letters, dead_letter_sql()),
 }
 
 

@@ -71,6 +71,13 @@ class Files:
         finally:
             stream.close()
 
+    def footer(self, key: str) -> bytes:
+        """The footer of a Parquet file: schema, metadata, and rows, places and statistics of all row groups.  Empty if there is none."""
+        size = self.size(key) or 0
+        end = self.read(key, size - 8) if size >= 12 else b""
+        length = int.from_bytes(end[:4], "little")
+        return self.read(key, size - 8 - length, length) if end[4:] == b"PAR1" and length <= size - 12 else b""
+
     def size(self, key: str) -> int | None:
         path = self.path(key)
         return self._fs.getFileStatus(path).getLen() if self._fs.exists(path) else None

@@ -1,6 +1,7 @@
 """Ingestion: bodies are kept first, then read into segments and dead letters.
 
-An acknowledged body is an immutable file of the spool, named in the manifest with the profile it was admitted under.  Processing
+An acknowledged body is an immutable file of the spool, or one that landed, named in the manifest with its digest and the profile it was
+admitted under.  Processing
 reads any number of waiting bodies as one Spark job; segments, dead letters and the end of the wait are published by one manifest
 version, so that a body counts once, however often a job is tried.
 """
@@ -8,23 +9,28 @@ version, so that a body counts once, however often a job is tried.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from datetime import timedelta
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..functions.guards import engine_error
 from ..lang.times import EPOCH
 from ..types import EVENT_ID, EVENT_TIME, INGESTION_TIME, REST, Logical
 from .catalog import SourceDefinition
 from .normalize import Accepted, Normalizer
-from .store import Store, columns_of, dead_letter_key, now_ms
+from .store import Store, columns_of, dead_letter_key, digest, now_ms
 
 #: Records and rows of a segment at most.
 MOST_RECORDS, SEGMENT_ROWS = 100_000, 50_000
 #: Bodies of a job, and bytes of rows that one task writes, about.
 JOB_BATCHES, TASK_BYTES = 1_000, 64 << 20
+#: Names the batch of a file.
+NAMES = uuid.UUID("6f1d7c1e-36c1-4a58-9a1c-0f3c2f2d9b11")
 ARROW = {
     Logical.BOOL: pa.bool_(), Logical.INT32: pa.int32(), Logical.INT64: pa.int64(), Logical.UINT32: pa.int64(), Logical.UINT64: pa.decimal128(20, 0),
     Logical.FLOAT32: pa.float32(), Logical.FLOAT64: pa.float64(), Logical.UTF8: pa.string(), Logical.DATETIME: pa.timestamp("us", "UTC"), Logical.EID: pa.binary(), Logical.JSON: pa.string(),
@@ -51,11 +57,38 @@ def admit(store: Store, source: str, input_name: str, body: bytes, most_bytes: i
     batch = str(uuid.uuid4())
     if not store.files.write_new(spool_key(batch), body):
         raise EngineError("CAPACITY_EXHAUSTED", "the body couldn't be kept")
-    row = {"source": definition.name, "input": entry.name, "revision": entry.active, "schema": entry.profile().target, "time": now_ms() if at is None else at, "bytes": len(body), "state": "DURABLY_QUEUED"}
+    row = {"source": definition.name, "input": entry.name, "revision": entry.active, "schema": entry.profile().target, "time": now_ms() if at is None else at, "bytes": len(body), "digest": digest(body), "state": "DURABLY_QUEUED"}
     store.change(lambda state: state["batches"].__setitem__(batch, row))
     return {"batch_id": batch, "ingestion_time": row["time"], "body_bytes": len(body), "state": row["state"]}
 
 
+def admit_files(store: Store, source: str, input_name: str, files: DataFrame) -> int:
+    """Names finished files (columns path and content, as Spark's binaryFile has them) as batches; the number of new ones.
+
+    Executors read the files; only paths, lengths and digests come here, and one manifest version names them all.  The files stay where
+    they are and must not change: processing holds them against the digest.  A file's batch is named by its path, so that a file that
+    comes again is known already."""
+    entry = store.sources()[source].input(input_name)
+    rows = files.select("path", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("digest")).collect()
+    at = now_ms()
+
+    def step(state: dict) -> int:
+        seen, n = state.setdefault("landed", {}), 0
+        for r in rows:
+            batch = str(uuid.uuid5(NAMES, f"{source}/{input_name}/{r['path']}"))
+            if batch not in seen:
+                seen[batch], n = at, n + 1
+                state["batches"][batch] = {"source": source, "input": input_name, "revision": entry.active, "schema": entry.profile().target, "time": at, "bytes": r["bytes"], "digest": r["digest"], "path": r["path"], "state": "DURABLY_QUEUED"}
+        return n
+
+    return store.change(step)
+
+
+def unglobbed(path: str) -> str:
+    """A path as Spark's readers take it, which read some characters as patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def process(store: Store, data_ttl: int | None = None) -> dict:
     """Reads all waiting bodies.  data_ttl: milliseconds after which what they hold expires."""
     state = store.state()
@@ -77,7 +110,8 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
     profile = source.input(input_name).profile(revision)
     schema = source.schema(profile.target)
     fields = schema.all_fields
-    times = {b: r["time"] for b, r in batches.items()}
+    times, digests = ({b: r.get(k) for b, r in batches.items()} for k in ("time", "digest"))
+    landed = {r["path"]: b for b, r in batches.items() if "path" in r}
     names = ["batch", "letter", "day", "size", *(f.id for f in fields)]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *(ARROW[f.type] for f in fields)]
     moment = lambda ms: EPOCH + timedelta(milliseconds=ms)
@@ -96,10 +130,13 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
     def read(parts):
         for part in parts:
             for path, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                batch = path.rsplit("/", 1)[1].removesuffix(".ndjson")
+                batch = landed.get(path) or path.rsplit("/", 1)[1].removesuffix(".ndjson")
+                body = content.as_py()
+                if digests[batch] not in (None, digest(body)):
+                    raise EngineError("PUBLISHED_OBJECT_CORRUPT", f"{path} is not the body that was admitted")
                 normalizer = Normalizer(schema, profile, uuid.UUID(batch).bytes)
                 rows: list[tuple] = []
-                for r in normalizer.records(content.as_py()):
+                for r in normalizer.records(body):
                     if isinstance(r, Accepted):
                         system = {EVENT_TIME.id: moment(r.time), INGESTION_TIME.id: moment(times[batch]), EVENT_ID.id: r.id, REST.id: r.rest}
                         own = {f.id: value(v, f.type) for f, v in zip(schema.fields, r.values, strict=True)}
@@ -118,10 +155,14 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
     out_schema = columns_of(schema)
     out_schema.fields = [*spark.createDataFrame([], "batch string, letter string, day long, size long").schema.fields, *out_schema.fields]
     out_schema.names = [f.name for f in out_schema.fields]
-    bodies = spark.read.format("binaryFile").load([store.files.at(spool_key(b)) for b in batches]).select("path", "content")
+    bodies = spark.read.format("binaryFile").load([unglobbed(r["path"]) if "path" in r else store.files.at(spool_key(b)) for b, r in batches.items()]).select("path", "content")
     # written once, so that accepted and rejected records come from the same reading
     normal = f"staging/{uuid.uuid4()}"
-    bodies.mapInArrow(read, out_schema).withColumn("rejected", F.col("letter").isNotNull()).write.partitionBy("rejected").parquet(store.files.at(normal))
+    try:
+        bodies.mapInArrow(read, out_schema).withColumn("rejected", F.col("letter").isNotNull()).write.partitionBy("rejected").parquet(store.files.at(normal))
+    except Exception as error:  # all bodies wait on
+        store.files.delete(normal, True)
+        raise engine_error(error) from error
     found = store.files.names(normal)
     entries, letters, accepted, rejected = [], [], 0, 0
     if "rejected=false" in found:
@@ -159,6 +200,7 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
 
     if not store.change(publish):
         return {}
-    for b in batches:
-        store.files.delete(spool_key(b))
+    for b, r in batches.items():
+        if "path" not in r:  # files that landed are their owner's
+            store.files.delete(spool_key(b))
     return {"batches": len(batches), "accepted": accepted, "rejected": rejected, "segments": len(entries)}

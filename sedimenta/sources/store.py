@@ -7,6 +7,7 @@ try again on the new state.  A reader takes one version and never sees half of a
 from __future__ import annotations
 
 import copy
+import hashlib
 import json
 import time
 import uuid
@@ -16,12 +17,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..errors import EngineError
 from ..functions.casts import from_json
+from ..functions.guards import engine_error
 from ..plans.lower import in_time
 from ..types import REST, SPARK, Field, Logical
 from . import catalog, pointer
@@ -31,6 +34,8 @@ from .files import Files
 DAY = 86_400_000
 #: Segments of a query, and object checks at a time.
 MOST_SEGMENTS, CHECKS = 10_000, 16
+#: Rows of a row group at most, a fixed value.
+GROUP_ROWS = 8192
 EMPTY = {"version": 0, "sources": {}, "segments": [], "batches": {}, "dead_letters": [], "runs": []}
 
 
@@ -42,6 +47,10 @@ def segment_key(segment: dict) -> str:
     return f"segments/{segment['id']}/{segment['object']}.parquet"
 
 
+def digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def dead_letter_key(entry: dict) -> str:
     return f"dead-letters/{entry['batch']}/{entry['object']}.ndjson"
 
@@ -120,7 +129,8 @@ class Store:
         return Snapshot(state["version"], source, tuple(found))
 
     def check(self, snapshot: Snapshot, most_bytes: int | None = None) -> None:
-        """Before any row: bounds, and that each object is there in its size."""
+        """Before any row: bounds, and that each object is there in its size and with the footer it was published with, which holds its
+        schema, its rows and the place and statistics of every column."""
         if len(snapshot.segments) > MOST_SEGMENTS:
             raise EngineError("QUERY_RESOURCE_LIMIT_EXCEEDED", f"over {MOST_SEGMENTS} segments")
         if most_bytes is not None and snapshot.bytes > most_bytes:
@@ -132,6 +142,12 @@ class Store:
                 raise EngineError("PUBLISHED_OBJECT_MISSING", segment_key(s))
             if size != s["bytes"]:
                 raise EngineError("PUBLISHED_OBJECT_CORRUPT", f"{segment_key(s)} has {size} bytes, not {s['bytes']}")
+            try:
+                footer = digest(self.files.footer(segment_key(s)))
+            except Py4JJavaError as error:
+                raise engine_error(error) from error
+            if s.get("footer") not in (None, footer):
+                raise EngineError("PUBLISHED_OBJECT_CORRUPT", f"{segment_key(s)} has another footer")
 
         with ThreadPoolExecutor(CHECKS) as pool:
             list(pool.map(one, snapshot.segments))
@@ -196,7 +212,7 @@ class Store:
         old = self.spark.conf.get(kind)
         self.spark.conf.set(kind, "TIMESTAMP_MICROS")
         try:
-            ordered.write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).partitionBy("day").parquet(self.files.at(staging))
+            ordered.write.option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_ROWS).option("maxRecordsPerFile", most_rows).partitionBy("day").parquet(self.files.at(staging))
         finally:
             self.spark.conf.set(kind, old)
         return self.adopt(staging, source, schema)
@@ -214,7 +230,7 @@ class Store:
         for r in facts:
             s = {"id": str(uuid.uuid4()), "object": str(uuid.uuid4()), "source": source.id, "schema": schema.version, "day": r["min"] // DAY, "rows": r["rows"], "min": r["min"], "max": r["max"], "estimated": r["estimated"], "state": "ACTIVE"}
             self.files.move(r["file"], segment_key(s))
-            out.append(s | {"bytes": self.files.size(segment_key(s))})
+            out.append(s | {"bytes": self.files.size(segment_key(s)), "footer": digest(self.files.footer(segment_key(s)))})
         self.files.delete(staging, True)
         return out
 

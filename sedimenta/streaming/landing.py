@@ -6,46 +6,22 @@ crash finds its body admitted already.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
 from ..sources import ingest
-from ..sources.store import now_ms
-
-NAMES = uuid.UUID("6f1d7c1e-36c1-4a58-9a1c-0f3c2f2d9b11")
-
-
-def admit_file(engine: Engine, source: str, input_name: str, path: str, content: bytes) -> bool:
-    """False if this file was admitted before."""
-    store = engine.store
-    batch = str(uuid.uuid5(NAMES, f"{source}/{input_name}/{path}"))
-    entry = store.sources()[source].input(input_name)
-    store.files.write_new(ingest.spool_key(batch), content)
-
-    def step(state: dict) -> bool:
-        seen = state.setdefault("landed", {})
-        if batch in seen:
-            return False
-        seen[batch] = now_ms()
-        state["batches"][batch] = {"source": source, "input": input_name, "revision": entry.active, "schema": entry.profile().target, "time": now_ms(), "bytes": len(content), "state": "DURABLY_QUEUED"}
-        return True
-
-    return store.change(step)
 
 
 def start(engine: Engine, source: str, input_name: str, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """trigger: arguments of DataStreamWriter.trigger, {"availableNow": True} if None.
 
-    Bodies of a micro-batch come to the driver one by one; each is bounded by the admission limit."""
+    Executors read the bodies; the driver has their paths, lengths and digests only.  Files must be finished when they appear."""
     spark = engine.spark
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 100).load(folder)
 
     def take(batch: DataFrame, number: int) -> None:
-        for row in batch.select("path", "content").toLocalIterator():
-            admit_file(engine, source, input_name, row["path"], bytes(row["content"]))
+        ingest.admit_files(engine.store, source, input_name, batch)
         engine.process()
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

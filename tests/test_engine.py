@@ -247,6 +247,60 @@ def test_landing_stream(spark, tmp_path):
     assert ask(e, "| summarize n = count(), s = sum(attempts)").rows == [["3", "3"]]
 
 
+def test_a_landed_file_must_not_change(spark, tmp_path):
+    from sedimenta.sources.ingest import admit_files
+
+    e = Engine(spark, str(tmp_path / "store"))
+    e.apply_catalog(V1)
+    folder = tmp_path / "in [1]{a}"
+    folder.mkdir()
+    (folder / "a*b.ndjson").write_text(event("11:00", "m", 1))
+    (folder / "axb.ndjson").write_text(event("11:00", "n", 2))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in ?1??a?"))
+    assert admit_files(e.store, "logs", "http", files) == 2 and admit_files(e.store, "logs", "http", files) == 0
+    (folder / "axb.ndjson").write_text(event("11:00", "n", 3))
+    with pytest.raises(EngineError) as error:
+        e.process()
+    assert error.value.code == "PUBLISHED_OBJECT_CORRUPT" and ask(e, "| summarize n = count()").rows == [["0"]]
+    (folder / "axb.ndjson").write_text(event("11:00", "n", 2))
+    assert e.process()["accepted"] == 2 and len(list(folder.iterdir())) == 2
+    assert ask(e, "| summarize n = count(), s = sum(attempts)").rows == [["2", "3"]]
+
+
+def test_a_spooled_body_is_held_against_its_digest(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.apply_catalog(V1)
+    e.ingest("logs", "http", event("11:00", "m", 1).encode())
+    (path,) = list(tmp_path.glob("spool/*.ndjson"))
+    data = path.read_bytes()
+    path.write_bytes(data[:-3])
+    (tmp_path / "spool" / f".{path.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(EngineError) as error:
+        e.process()
+    assert error.value.code == "PUBLISHED_OBJECT_CORRUPT"
+    path.write_bytes(data)
+    assert e.process()["accepted"] == 1
+
+
+def test_segments_have_small_row_groups_and_are_told_by_their_footer(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    e = Engine(spark, str(tmp_path))
+    e.apply_catalog(V1)
+    e.ingest("logs", "http", "\n".join(event("11:00", f"m{i}", i) for i in range(20_000)).encode())
+    e.process()
+    (path,) = list(tmp_path.glob("segments/*/*.parquet"))
+    meta = pq.read_metadata(path)
+    assert meta.num_rows == 20_000 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 8192
+    data = bytearray(path.read_bytes())
+    at = data.rindex(b"PAR1") - 4 - int.from_bytes(data[-8:-4], "little")
+    place = data.index(b"parquet-mr", at)  # a swapped file of the same length
+    data[place : place + 7] = b"another"
+    path.write_bytes(data)
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    failing(e, "PUBLISHED_OBJECT_CORRUPT", "")
+
+
 def test_command_line(spark, tmp_path, capsys):
     from sedimenta.__main__ import main
 
