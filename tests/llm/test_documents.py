@@ -364,6 +364,19 @@ def test_packing_composes_before_it_lowers():
         assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_of_odd_words():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, words, draw = Tokenizer.from_file(BPE), tokenizer(BPE), random.Random(7)
+    signs = "abcdeszABZ0123''..,,$#<|>_-~!`{}[]\\\"@\x7f\x1c\x1f\x80\x85\xa0\xad\xb5\xaa\xbaäößÿ÷×ÄÖÉéñşğİıſΣςσĳ字あ한①² \ṯ́̈"
+    special = ["<|startoftext|>", "<|endoftext|>", "'s", "'re", "'ll", "'T", "'VE"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(special) if draw.random() < 0.05 else draw.choice(signs) for _ in range(draw.randint(1, 9)))
+        assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_repeated_long_documents_are_spread_over_groups(spark):
     rows = [(i, prose(7000 + i % 3, 2000), "en", "a", 0) for i in range(40)]
     out = pack(table(spark, rows), BPE, capacity=512, group=50)
