@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import MOST_BROADCAST, REQUEST, answers, begin, discard, free_name, flags, hashed_texts, in_groups, materialised, release, replies, request_rows, request_table, small_batches, spread, text_bytes, texts, windows, with_one
 from .components import components
+from .urls import LANES, MOST_BLOCKS, bits, bloom_filter
 
 SIZE = 5
 HEAVY, LOCAL, COUNT_BLOCK = 1 << 17, 4, 3_000_000
@@ -495,17 +496,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     columns have the smallest hash.  All columns pass through unchanged, whatever their names.  An empty table gives an empty result.
     """
     found = materialised(grouped_rows(docs, id_col, text))
-    row = free_name("__row", docs)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("rid"))
-    kept = materialised(found.filter("root is not null").groupBy("root").agg(F.min_by("row", order).alias(row)).select(row).distinct())
-    keys = F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
-    out = docs.filter(has_words(text)).withColumn(row, row_key(id_col, text)).join(keys, row, "left_semi")
-    if found.filter("root is not null").groupBy("row").count().filter("count > 1").limit(1).count():
-        names = [f"`{c}`" for c in docs.columns]
-        rest = F.xxhash64(*[F.to_json(F.struct(c)) for c in names])
-        out = out.groupBy(row).agg(F.min_by(F.struct(*names), rest).alias(row + "_")).select(f"{row}_.*")
+    some = found.filter("root is not null")
+    first = some.groupBy("root").agg(F.min_by("row", order).alias("row"))
+    marks = some.select("row", F.lit(0).alias("kept")).unionByName(first.select("row", F.lit(1).alias("kept")))
+    keys = materialised(marks.groupBy("row").agg((F.max("kept") == 1).alias("kept"), (F.count_if(F.col("kept") == 0) > 1).alias("repeated")))
     discard(found)
-    return out.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter(~has_words(text)))
+    # texts stay where they are: what a filter of the keys that go (or are repeated) doesn't hold is kept, only the rest is looked up
+    held, blocks = bloom_filter(keys.filter("not kept or repeated"), "row", MOST_BLOCKS)
+    held = materialised(held)
+    asked = materialised(probed(keys.filter("kept"), "row", held, blocks, True).select("row", "repeated"))
+    row, rest = free_name("__row", docs), free_name("__rest", docs)
+    keyed = docs.withColumn(row, F.when(has_words(text), row_key(id_col, text)))
+    known = asked.select(F.col("row").alias(row))
+    out = probed(keyed, row, held, blocks, True).join(F.broadcast(known) if asked.count() <= MOST_BROADCAST else known, row, "left_semi")
+    names = [f"`{c}`" for c in docs.columns]
+    if asked.filter("repeated").limit(1).count():
+        least = F.xxhash64(*[F.to_json(F.struct(c)) for c in names])
+        out = out.groupBy(row).agg(F.min_by(F.struct(*names), least).alias(rest)).select(f"{rest}.*")
+    discard(keys)
+    return out.select(*names).unionByName(probed(keyed, row, held, blocks, False).select(*names))
+
+
+def probed(rows: DataFrame, key: str, held: DataFrame, blocks: int, hit: bool) -> DataFrame:
+    """Those rows whose key a Bloom filter lets through (hit), or all others; a null key isn't let through."""
+    of, words = free_name("__block", rows), free_name("__words", rows)
+    held = held.select(F.col("block").alias(of), F.struct(*[F.col(f"word{i}") for i in range(LANES)]).alias(words))
+    set_all = F.col(key).isNotNull()
+    for i, b in enumerate(bits(F.xxhash64(key, F.lit(1)))):
+        set_all = set_all & (F.col(f"{words}.word{i}").bitwiseAND(b) != 0)
+    out = rows.join(F.broadcast(held), F.pmod(F.xxhash64(key), F.lit(blocks)) == F.col(of), "left")
+    return out.filter(F.coalesce(set_all, F.lit(False)) == hit).drop(of, words)
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -90,6 +90,38 @@ def test_rows_of_equal_id_and_text_leave_the_same_one(spark):
     assert len(found) == 1 and len(found.pop()) == 1
 
 
+def test_texts_of_kept_rows_are_not_dealt_out(spark, monkeypatch):
+    """More rows stay than may be broadcast; those that go are few."""
+    from sedimenta.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, prose(2000 + i // 2 if i < 10 else 2000 + i, 20), "en", "a", i) for i in range(80)] + [(90, None, "en", "a", 0)]
+        out = keep_one(table(spark, rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in out.collect()) == [*range(0, 10, 2), *range(10, 80), 90]
+        assert "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(("most_blocks", "most_broadcast"), [(1, 0), (1, 200_000), (1 << 16, 0)])
+def test_one_of_each_group_stays_whatever_the_filter_lets_through(spark, monkeypatch, most_blocks, most_broadcast):
+    """A filter of one full block lets nearly all through, which are then looked up; repeated rows, some with a null id, are among them."""
+    from sedimenta.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "MOST_BLOCKS", most_blocks)
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", most_broadcast)
+    texts = {i: prose(3000 + i, 20) for i in range(300)}
+    rows = [(1000 * k + i, t, "en", "a", k) for i, t in texts.items() for k in range(1 + i % 3)]
+    rows += [(i, texts[i], "de", "b", 9) for i in range(40)] + [(None, prose(4000, 20), "en", "a", 0)] * 2 + [(7, " ", "en", "a", 0)] * 2
+    got = keep_one(table(spark, rows)).collect()
+    assert multiset((r["doc_id"], r["text"]) for r in got) == multiset([*texts.items(), (None, prose(4000, 20)), (7, " "), (7, " ")])
+    assert not multiset(map(tuple, got)) - multiset(rows)
+
+
 DENSE = [(i, edited(prose(50, 150), 100 + i, i % 14), "en", "a", 0) for i in range(160)] + [(500 + i, prose(50, 150), "en", "a", 0) for i in range(60)]
 
 
