@@ -486,7 +486,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def has_words(text: str) -> Column:
-    return F.length(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "")) > 0
+    return F.octet_length(F.ltrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) > 0
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
