@@ -114,6 +114,13 @@ def test_urls(spark, monkeypatch, most):
         filter_urls(pages, listed, RULES * 300)
 
 
+def test_the_query_goes_by_the_rules_of_its_contract(spark, tmp_path):
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    at = ["http://a.com/en/1", "http://example.com/en/7", "http://b.example.net/de/9", "http://example.net/de/8", "http://x.org/es/"]
+    spark.createDataFrame(list(enumerate(at)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r["rule"]: r["verdict"] for r in urls.op7_urls(spark, str(tmp_path)).collect()} == want
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_positives(spark):
     urls = spark.range(20_000).select(F.concat(F.lit("host/"), "id").alias("url"))
     words, blocks = bloom_filter(urls)
