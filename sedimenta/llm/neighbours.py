@@ -2,10 +2,12 @@
 
 A vector of unit length is the sum of one full-dimensional code word from each of several codebooks.  Codebooks are fitted on residuals
 and then refined together by least squares; encoding is a beam search; a query scores codes by adding up table entries and dividing
-by the stored norm of the decoded vector; the best of each part are then scored exactly on the original vectors.
+by the stored norm of the decoded vector; the best of each part are then scored exactly on the original vectors.  By their scores and the
+stored distance of each vector from its decoded one, rows that may still be nearer are known; these are checked exactly too, so that
+within the cells that a query visits nothing is missed.
 
-Rows are dealt into cells round centres, and a query visits the cells whose centres are nearest.  How many it visits is measured on the
-sample: as many as hold FOUND of its true neighbours.  Vectors in clusters need few cells, vectors without any structure nearly all.
+Rows are dealt into cells round centres, and a query visits the cells whose centres are nearest.  How many it visits is measured with
+some of the queries on the sample: as many as hold FOUND of their true neighbours there.  Vectors in clusters need few cells, vectors without any structure nearly all.
 A cell with many rows is split into parts and one with many visits into blocks of queries, by hashes, so no task gets more than about
 PART rows and QUERY_BLOCK queries.  Vectors travel with their codes, once for each block of queries.
 """
@@ -28,6 +30,10 @@ SAMPLE, SAMPLE_NUMBERS = 6_000, 4_000_000
 #: Cells at most, and the share of true neighbours in the sample that the visited cells shall hold.
 MOST_CELLS, FOUND = 1_024, 0.99
 PART, QUERY_BLOCK = 16_384, 4_096
+#: Queries that the number of visits is measured with, about.
+ASKED = 500
+#: More than single precision loses in an estimate, and in an inner product of unit vectors.
+LOOSE, CLOSE = 1e-3, 1e-4
 
 
 def usable(vector: Column) -> Column:
@@ -88,14 +94,14 @@ class Codebooks:
             self = cls(np.linalg.solve(gram, right).reshape(self.words.shape))
         return self
 
-    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (uint8 for each book) and norms of the decoded vectors."""
+    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (uint8 for each book), norms of the decoded vectors, and their distances from the vectors."""
         out = [self.encode_some(x[a : a + 512].astype(np.float32), beam) for a in range(0, len(x), 512)]
         books = len(self.words)
-        codes = np.concatenate([c for c, _ in out]) if out else np.zeros((0, books), np.uint8)
-        return codes, np.concatenate([n for _, n in out]) if out else np.zeros(0, np.float32)
+        codes = np.concatenate([o[0] for o in out]) if out else np.zeros((0, books), np.uint8)
+        return codes, *(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.float32) for i in (1, 2))
 
-    def encode_some(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode_some(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, dim = x.shape
         residual, codes = x[:, None, :], np.zeros((n, 1, 0), np.int64)
         for centres in self.words:
@@ -111,8 +117,9 @@ class Codebooks:
             codes = np.concatenate([codes[rows, from_], word[:, :, None]], 2)
         best = np.argmin((residual * residual).sum(2), 1)
         rows = np.arange(n)
-        decoded = x - residual[rows, best]
-        return codes[rows, best].astype(np.uint8), np.sqrt((decoded * decoded).sum(1)).astype(np.float32)
+        left = residual[rows, best]
+        decoded = x - left
+        return codes[rows, best].astype(np.uint8), *(np.sqrt((v * v).sum(1)).astype(np.float32) for v in (decoded, left))
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries, books, words: the inner products."""
@@ -124,8 +131,8 @@ class Cells:
         self.centres, self.visited = centres, visited
 
     @classmethod
-    def fit(cls, x: np.ndarray, cells: int, k: int, rounds: int = 8, seed: int = 11) -> Cells:
-        """Centres by k-means on unit vectors; the number of cells to visit by the true neighbours of some of them."""
+    def fit(cls, x: np.ndarray, cells: int, k: int, asked: np.ndarray | None = None, rounds: int = 8, seed: int = 11) -> Cells:
+        """Centres by k-means on unit vectors; the number of cells to visit by the true neighbours of queries, or of some of the vectors."""
         rng, x = np.random.default_rng(seed), x.astype(np.float32)
         cells = max(1, min(cells, len(x) // 4))
         centres = x[rng.choice(len(x), cells, replace=False)]
@@ -136,14 +143,15 @@ class Cells:
             size = np.sqrt((total * total).sum(1, keepdims=True))
             centres = np.where(size > 1e-6, total / np.maximum(size, 1e-6), centres)
         own = np.argmax(x @ centres.T, 1)
-        asked = rng.choice(len(x), min(500, len(x)), replace=False)
-        near = x[asked] @ x.T
-        near[np.arange(len(asked)), asked] = -np.inf
+        asked = x[rng.choice(len(x), min(ASKED, len(x)), replace=False)] if asked is None else asked.astype(np.float32)
+        near = asked @ x.T
+        itself = near.argmax(1)  # at most one, since there are no copies
+        near[np.arange(len(asked)), itself] = np.where((x[itself] == asked).all(1), -np.inf, near.max(1))
         k = min(k, len(x) - 1)
         if not k:
             return cls(centres, cells)
         best = np.argpartition(-near, k - 1, 1)[:, :k]
-        rank = np.argsort(np.argsort(-(x[asked] @ centres.T), 1, kind="stable"), 1)
+        rank = np.argsort(np.argsort(-(asked @ centres.T), 1, kind="stable"), 1)
         needed = np.take_along_axis(rank, own[best], 1)
         return cls(centres, min(cells, 1 + int(np.quantile(needed, FOUND, method="higher"))))
 
@@ -151,33 +159,49 @@ class Cells:
         return np.argsort(-(x.astype(np.float32) @ self.centres.T), 1, kind="stable")
 
 
-def found_in_part(books: Codebooks, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, k: int, rerank: int):
+def found_in_part(books: Codebooks, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, errors: np.ndarray, k: int, rerank: int):
     """query id, vec id, score of the k nearest in a part whose rows are in the order of ids."""
     # equal vectors get one code, so that they score alike to the last bit and the smaller ids go first
     rows = np.ascontiguousarray(vectors)
     _, first, same = np.unique(rows.view([("", f"V{rows.dtype.itemsize * rows.shape[1]}")]).ravel(), return_index=True, return_inverse=True)
-    codes, scale = codes[first], 1 / np.maximum(norms[first], 1e-9)
+    codes, scale, errors = codes[first], 1 / np.maximum(norms[first], 1e-9), errors[first]
     columns = [np.ascontiguousarray(codes[:, m]) for m in range(codes.shape[1])]
-    rerank = min(rerank, len(ids))
+    rerank = min(max(rerank, k), len(ids))
+    distinct = np.empty((len(first), rows.shape[1]), np.float32)
+    for a in range(0, len(first), 4096):
+        distinct[a : a + 4096] = unit(rows[first[a : a + 4096]])
+
+    def exactly(query: np.ndarray, near: np.ndarray) -> np.ndarray:
+        once, place = np.unique(same[near], return_inverse=True)
+        return cosines(query, rows[first[once]])[place]
+
     for a in range(0, len(queries), 64):
-        tables = books.tables(unit(queries[a : a + 64]))
-        score = tables[:, 0][:, columns[0]]
+        asked = unit(queries[a : a + 64])
+        tables = books.tables(asked)
+        inner = tables[:, 0][:, columns[0]]
         for m in range(1, len(columns)):
-            score += tables[:, m][:, columns[m]]
-        score = (score * scale)[:, same]
+            inner += tables[:, m][:, columns[m]]
+        score = (inner * scale)[:, same]
         score[query_ids[a : a + 64, None] == ids] = -np.inf
         limits = np.partition(score, len(ids) - rerank, 1)[:, len(ids) - rerank]
-        for q, query_id, own, limit in zip(queries[a : a + 64], query_ids[a : a + 64], score, limits, strict=True):
+        inner += errors + LOOSE  # no vector's cosine is above this
+        product = asked.astype(np.float32) @ distinct.T + CLOSE
+        for i, (q, query_id, own, limit) in enumerate(zip(queries[a : a + 64], query_ids[a : a + 64], score, limits, strict=True)):
             near = np.flatnonzero(own > limit)
             near = np.concatenate([near, np.flatnonzero((own == limit) & (ids != query_id))[: rerank - len(near)]])
             if not len(near):
                 continue
-            exact = cosines(q, vectors[near])
+            exact = exactly(q, near)
+            if len(near) >= k:
+                least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                open_ = (inner[i] >= least) & (product[i] >= least)
+                near = np.flatnonzero(open_[same] & (ids != query_id))
+                exact = exactly(q, near)
             best = np.lexsort((ids[near], -exact))[:k]
             yield int(query_id), ids[near][best], exact[best]
 
 
-ENCODED = "id long, v array<{kind}>, q boolean, cell int, codes binary, norm float, visits array<int>"
+ENCODED = "id long, v array<{kind}>, q boolean, cell int, codes binary, norm float, error float, visits array<int>"
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, rerank: int = RERANK, books: int = BOOKS, words: int = WORDS) -> DataFrame:
@@ -188,7 +212,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     asked once, with the smallest of its vectors.  Repeated other rows each count.  Fewer candidates than k in the cells that a query
     visits: those.  An empty table gives no rows.
     Codebooks and centres are fitted on about SAMPLE rows, picked by a hash of the id; every row is encoded and lies in a cell.
-    ``rerank`` rows of each part are scored exactly, whatever the part's size.
+    ``rerank`` rows of each part are scored exactly first; the k-th of them decides which others are checked.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -203,8 +227,11 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 32)) < share * (1 << 32)).select("v").toArrow()
     if not sample.num_rows:
         sample = rows.select("v").limit(1).toArrow()
+    part = min(1.0, ASKED / sizes["queries"], SAMPLE_NUMBERS / dim / sizes["queries"])
+    some = rows.filter("q").filter(F.pmod(F.xxhash64("id", F.lit("asked")), F.lit(1 << 32)) < part * (1 << 32)).select("v").toArrow()
+    asked = unit(matrix(some.column(0), dim)) if some.num_rows else None
     learned = np.unique(unit(matrix(sample.column(0), dim)), axis=0)  # copies teach nothing
-    shared = spark.sparkContext.broadcast((Codebooks.fit(learned, books, words), Cells.fit(learned, min(MOST_CELLS, round(math.sqrt(n) / 4)), k)))
+    shared = spark.sparkContext.broadcast((Codebooks.fit(learned, books, words), Cells.fit(learned, min(MOST_CELLS, round(math.sqrt(n) / 4)), k, asked)))
 
     def encoded(batches):
         begin("neighbours")
@@ -213,10 +240,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 x = unit(matrix(part.column(1), dim))
-                codes, norms = codebooks.encode(x)
+                codes, norms, errors = codebooks.encode(x)
                 near = cells.nearest(x)
                 visits = [v.tolist() if q else None for q, v in zip(part.column(2).to_pylist(), near[:, : cells.visited], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near[:, 0], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(visits, pa.list_(pa.int32()))], names=["id", "v", "q", "cell", "codes", "norm", "visits"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near[:, 0], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(errors, pa.float32()), pa.array(visits, pa.list_(pa.int32()))], names=["id", "v", "q", "cell", "codes", "norm", "error", "visits"])
         release()
 
     table = materialised(rows.mapInArrow(encoded, ENCODED.format(kind=kind)))
@@ -226,7 +253,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
     split = F.broadcast(held.join(visited, "cell"))  # a row for each cell, MOST_CELLS at most
     upto = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     key = ["cell", "part", "block"]
-    data = table.join(split, "cell").select("cell", F.pmod(F.xxhash64("id", "v"), F.col("parts")).alias("part"), upto("blocks").alias("block"), "id", "v", "codes", "norm")
+    data = table.join(split, "cell").select("cell", F.pmod(F.xxhash64("id", "v"), F.col("parts")).alias("part"), upto("blocks").alias("block"), "id", "v", "codes", "norm", "error")
     queries = asked.join(split, "cell").select("cell", upto("parts").alias("part"), F.pmod(F.xxhash64("query"), F.col("blocks")).alias("block"), "query", "at")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -234,7 +261,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector:
         if left.num_rows and right.num_rows:
             left = left.sort_by("id")
             codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            for query, near, score in found_in_part(shared.value[0], matrix(right.column("at"), dim), right.column("query").to_numpy(), matrix(left.column("v"), dim), left.column("id").to_numpy(), codes, left.column("norm").to_numpy(), k, rerank):
+            for query, near, score in found_in_part(shared.value[0], matrix(right.column("at"), dim), right.column("query").to_numpy(), matrix(left.column("v"), dim), left.column("id").to_numpy(), codes, left.column("norm").to_numpy(), left.column("error").to_numpy(), k, rerank):
                 out[0].append(np.full(len(near), query))
                 out[1].append(near)
                 out[2].append(score)

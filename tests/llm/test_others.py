@@ -197,6 +197,23 @@ def test_recall(spark, monkeypatch, clusters):
     assert hits >= 0.9 * 5 * 40
 
 
+def test_coarse_codes_hide_no_neighbour(spark):
+    """Few words describe these vectors badly, so that the first to be scored are seldom the nearest."""
+    rng = np.random.default_rng(8)
+    x = (2 + rng.normal(size=(5_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in search(df, F.col("vec_id") % 100 == 0, rerank=16, books=2, words=16).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = unit(x)
+    hits = 0
+    for q in range(0, 5_000, 100):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.97 * 5 * 50
+
+
 def test_packed_keys():
     from sedimenta.llm.common import packed, unpacked
 
