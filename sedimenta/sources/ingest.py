@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from datetime import timedelta
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.guards import engine_error
-from ..lang.times import EPOCH
-from ..types import EVENT_ID, EVENT_TIME, INGESTION_TIME, REST, Logical
+from ..types import EVENT_ID, Logical
 from .catalog import SourceDefinition
 from .normalize import Accepted, Normalizer
-from .store import Store, columns_of, dead_letter_key, digest, now_ms
+from .store import CHECKS, Store, columns_of, dead_letter_key, digest, now_ms
 
 #: Records and rows of a segment at most.
 MOST_RECORDS, SEGMENT_ROWS = 100_000, 50_000
@@ -114,18 +113,16 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
     landed = {r["path"]: b for b, r in batches.items() if "path" in r}
     names = ["batch", "letter", "day", "size", *(f.id for f in fields)]
     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *(ARROW[f.type] for f in fields)]
-    moment = lambda ms: EPOCH + timedelta(milliseconds=ms)
+    kinds = [None] * 4 + [f.type for f in fields]
 
-    def value(v, kind: Logical):
-        if v is None:
-            return None
-        if kind == Logical.DATETIME:
-            return moment(v)
+    def column(values: tuple, kind: Logical | None, type_: pa.DataType) -> pa.Array:
+        if kind == Logical.DATETIME:  # milliseconds, below 2^53
+            return pa.array([None if v is None else 1000 * v for v in values], pa.int64()).cast(type_)
         if kind == Logical.UINT64:
             from decimal import Decimal
 
-            return Decimal(v)
-        return v
+            return pa.array([None if v is None else Decimal(v) for v in values], type_)
+        return pa.array(values, type_)
 
     def read(parts):
         for part in parts:
@@ -138,9 +135,7 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
                 rows: list[tuple] = []
                 for r in normalizer.records(body):
                     if isinstance(r, Accepted):
-                        system = {EVENT_TIME.id: moment(r.time), INGESTION_TIME.id: moment(times[batch]), EVENT_ID.id: r.id, REST.id: r.rest}
-                        own = {f.id: value(v, f.type) for f, v in zip(schema.fields, r.values, strict=True)}
-                        rows.append((batch, None, r.day, r.size, *({**system, **own}[f.id] for f in fields)))
+                        rows.append((batch, None, r.day, r.size, r.time, times[batch], r.id, *r.values, r.rest))  # as with_system has them
                     else:
                         rows.append((batch, json.dumps(r.entry(batch), ensure_ascii=False), None, None, *[None] * len(fields)))
                     if len(rows) >= 5000:
@@ -150,7 +145,7 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
                     yield batch_of(rows)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        return pa.record_batch([column(c, k, t) for c, k, t in zip(zip(*rows, strict=True), kinds, types, strict=True)], names=names)
 
     out_schema = columns_of(schema)
     out_schema.fields = [*spark.createDataFrame([], "batch string, letter string, day long, size long").schema.fields, *out_schema.fields]
@@ -178,12 +173,15 @@ def process_some(store: Store, source: SourceDefinition, input_name: str, revisi
         texts = f"staging/{uuid.uuid4()}"
         dead.withColumn("at", at).repartition("batch").sortWithinPartitions("batch", "at").select("batch", "letter").write.partitionBy("batch").text(store.files.at(texts))
         rejected = dead.count()
-        for folder in store.files.names(texts):
-            batch = folder.removeprefix("batch=")
+
+        def adopted(folder: str) -> dict:
             (name,) = store.files.names(f"{texts}/{folder}")
-            entry = {"batch": batch, "object": str(uuid.uuid4()), "source": source.id, "published_at": now_ms()}
+            entry = {"batch": folder.removeprefix("batch="), "object": str(uuid.uuid4()), "source": source.id, "published_at": now_ms()}
             store.files.move(store.files.at(f"{texts}/{folder}/{name}"), dead_letter_key(entry))
-            letters.append(entry | {"bytes": store.files.size(dead_letter_key(entry))})
+            return entry | {"bytes": store.files.size(dead_letter_key(entry))}
+
+        with ThreadPoolExecutor(CHECKS) as pool:
+            letters = list(pool.map(adopted, store.files.names(texts)))
         store.files.delete(texts, True)
     store.files.delete(normal, True)
     at = now_ms()

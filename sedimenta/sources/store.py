@@ -9,10 +9,12 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -208,13 +210,8 @@ class Store:
         staging = f"staging/{uuid.uuid4()}"
         stamp, eid = (f"`{f.id}`" for f in (schema.all_fields[0], schema.all_fields[2]))
         ordered = rows.sortWithinPartitions("day", stamp, eid)
-        kind = "spark.sql.parquet.outputTimestampType"
-        old = self.spark.conf.get(kind)
-        self.spark.conf.set(kind, "TIMESTAMP_MICROS")
-        try:
+        with micros(self.spark):
             ordered.write.option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_ROWS).option("maxRecordsPerFile", most_rows).partitionBy("day").parquet(self.files.at(staging))
-        finally:
-            self.spark.conf.set(kind, old)
         return self.adopt(staging, source, schema)
 
     def adopt(self, staging: str, source: SourceDefinition, schema: Schema) -> list[dict]:
@@ -226,15 +223,39 @@ class Store:
         columns = StructType([*columns_of(schema).fields]).add("size", "long")
         written = self.spark.read.schema(columns).parquet(*[self.files.at(f"{staging}/{d}") for d in days])
         facts = written.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.unix_millis(F.min(stamp)).alias("min"), F.unix_millis(F.max(stamp)).alias("max"), F.sum("size").alias("estimated")).collect()
-        out = []
-        for r in facts:
+
+        def one(r) -> dict:
             s = {"id": str(uuid.uuid4()), "object": str(uuid.uuid4()), "source": source.id, "schema": schema.version, "day": r["min"] // DAY, "rows": r["rows"], "min": r["min"], "max": r["max"], "estimated": r["estimated"], "state": "ACTIVE"}
             self.files.move(r["file"], segment_key(s))
-            out.append(s | {"bytes": self.files.size(segment_key(s)), "footer": digest(self.files.footer(segment_key(s)))})
+            return s | {"bytes": self.files.size(segment_key(s)), "footer": digest(self.files.footer(segment_key(s)))}
+
+        with ThreadPoolExecutor(CHECKS) as pool:
+            out = list(pool.map(one, facts))
         self.files.delete(staging, True)
         return out
 
 
+_writers, _lock = {"n": 0, "old": None}, threading.Lock()
+
+
+@contextmanager
+def micros(spark: SparkSession):
+    """Times are written in microseconds; the session's own setting comes back when the last of several writers at a time is done."""
+    kind = "spark.sql.parquet.outputTimestampType"
+    with _lock:
+        if not _writers["n"]:
+            _writers["old"] = spark.conf.get(kind)
+            spark.conf.set(kind, "TIMESTAMP_MICROS")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(kind, _writers["old"])
+
+
 def check_invariants(state: dict) -> None:
     """What must hold of every published version."""
     ids = [s["id"] for s in state["segments"]]
