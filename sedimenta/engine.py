@@ -152,13 +152,14 @@ class Engine:
     def dead_letters(self) -> DataFrame:
         return self._frame("dead_letters", "batch string, object string, source string, bytes long, published_at long, expires_at long")
 
-    def dead_letter_entries(self, batch: str | None = None, most: int = 100) -> DataFrame:
-        """Entries of one batch or all, the first of each object in the order of position; limited as the reader of an object is."""
+    def dead_letter_entries(self, batch: str | None = None, most: int | None = 100) -> DataFrame:
+        """Entries of one batch or all, in the order of position; limited as the reader of an object is, or all of them."""
         schema = "batch_id string, line long, position long, code string, message string, payload_bytes long, payload_digest string, payload struct<content:string,encoding:string,extent:string>"
         found = [e for e in self.store.state()["dead_letters"] if batch in (None, e["batch"])]
         if not found:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json([self.store.files.at(dead_letter_key(e)) for e in found]).orderBy("batch_id", "position").limit(most)
+        entries = self.spark.read.schema(schema).json([self.store.files.at(dead_letter_key(e)) for e in found]).orderBy("batch_id", "position")
+        return entries if most is None else entries.limit(most)
 
     def verify(self, source: str) -> DataFrame:
         """Segments of a source whose rows or times contradict the manifest."""

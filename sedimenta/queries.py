@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .lang.analysis import TimeContext, analyze
 from .lang.times import parse_instant
-from .maintenance import Targets, compact, expire, reclaim, recover
+from .maintenance import Targets, compact, compact_all, expire, reclaim, recover
 from .plans.lower import check_session, lower
 from .sources.bindings import BoundSource, bind
 from .sources.ingest import admit_files
@@ -254,8 +254,7 @@ def stored_query(text: str, compacted: bool = False, **more):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = stored_events(spark, sf_dir, **more)
         if compacted:
-            while compact(engine.store, Targets(margin=0)):
-                pass
+            compact_all(engine.store, Targets(margin=0))
         return plain(engine.plan(f"source events {text}", FIRST, LAST).df)
 
     return run
@@ -263,7 +262,7 @@ def stored_query(text: str, compacted: bool = False, **more):
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = stored_events(spark, sf_dir, damaged=True)
-    return engine.dead_letter_entries(most=2**31 - 1).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
+    return engine.dead_letter_entries(most=None).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
 
 
 def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +286,7 @@ def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     engine.store.change(claim)
     assert compact(engine.store, Targets(margin=0)) is None and recover(engine.store, 1) == 1
-    while compact(engine.store, Targets(margin=0)):
-        pass
+    compact_all(engine.store, Targets(margin=0))
     reclaim(engine.store, now_ms() + 10_000_000)
     return plain(engine.plan("source events | project event_id, user_id, value, at = @event_time", FIRST, LAST).df)
 

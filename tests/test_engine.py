@@ -337,3 +337,32 @@ def test_a_file_is_named_once(spark, tmp_path):
     out.close()
     assert not files._named(late, files.path("a/one")) and files.read("a/one") == b"first"
     assert files.names("a") == ["one"]
+
+
+def test_compactions_of_several_days_run_at_a_time(spark, tmp_path, monkeypatch):
+    import threading
+
+    from sedimenta import maintenance
+
+    e = Engine(spark, str(tmp_path))
+    e.apply_catalog(V1)
+    for i in range(2):
+        e.ingest("logs", "http", "\n".join(event("11:00", f"m{i}{day}", i).replace("2026-08-20", f"2026-08-{day}") for day in (20, 21, 22)).encode())
+        e.process()
+    together, kind = threading.Barrier(3, timeout=60), "spark.sql.parquet.outputTimestampType"
+    write, before = e.store.write_segments, spark.conf.get(kind)
+    monkeypatch.setattr(e.store, "write_segments", lambda *a: (together.wait(), write(*a))[1])
+    assert maintenance.compact_all(e.store, Targets(margin=0)) == 3 and spark.conf.get(kind) == before
+    active = [s for s in e.store.state()["segments"] if s["state"] == "ACTIVE"]
+    assert sorted(s["rows"] for s in active) == [2, 2, 2] and len({s["day"] for s in active}) == 3
+    assert maintenance.compact_all(e.store, Targets(margin=0)) == 0
+
+
+def test_all_dead_letters_are_not_brought_to_one_task(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.apply_catalog(V1)
+    e.ingest("logs", "http", b"x\n[]\n" * 3)
+    e.process()
+    entries = e.dead_letter_entries(most=None)
+    assert "Limit" not in entries.groupBy("code").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert entries.count() == 6 and e.dead_letter_entries(most=2).count() == 2
